@@ -63,43 +63,85 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies:
     return sized.select("source", "source_size", "weight", F.least(F.col("limit"), F.lit(share) * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: float = 3.0, seed: int = 7, odds_col: str | None = None) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) for documents (doc_id, text, source)."""
-    odds = F.coalesce(F.col(odds_col).cast("double"), F.lit(1.0)) if odds_col else F.lit(1.0)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    draw = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text)
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), words().alias("size"), odds.alias("odds"), draw.alias("draw"))
-    rows = written(rows, "mix-rows")
-    goal = written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_copies), "mix-targets")
+def _draw(seed: int) -> Column:
+    """A hash of the document, the same in every run."""
+    return F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+_TOP = BITS * LEVELS - 8
+
+
+def _place(draw: Column, part: Column, odds: Column) -> Column:
+    """Random odds over inclusion odds, mapped to [0, 2^_TOP) without change of order."""
+    u = (F.pmod(F.shiftrightunsigned(draw, 12), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    pareto = (u / (1 - u)) / (F.greatest(part, F.lit(1e-12)) / F.greatest(1 - part, F.lit(1e-12)) * odds)
+    return F.least(F.floor(pareto / (1 + pareto) * float(1 << _TOP)), F.lit((1 << _TOP) - 1))
+
+
+def _odds(odds_col: str | None) -> Column:
+    return F.coalesce(F.col(odds_col).cast("double"), F.lit(1.0)) if odds_col else F.lit(1.0)
+
+
+def _at(source: str = "source") -> Column:
+    return F.col(source).eqNullSafe(F.col("its"))
+
+
+def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: float = 3.0) -> DataFrame:
+    """What each source takes, for rows (source, size, odds, draw): one row for each source.
 
-    # the draw as u in (0, 1); ranks are doubles of one sign, so their bits sort as they do
-    u = (F.pmod(F.shiftrightunsigned("draw", 12), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    (its, source_size, target, whole, part, left, prefix, room): whole copies of each document,
+    inclusion of the rest and the words left for it; the place of the cut in the ranking and the
+    words left there (null: no cut, all are drawn).
+    """
+    goal = written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_copies), "mix-targets")
     per_word = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.least(F.floor(per_word), F.lit(int(max_copies)))
-    part = per_word - whole
-    goal = goal.select("source", "source_size", "target", whole.cast("long").alias("whole"), part.alias("part"), (F.col("target") - whole * F.col("source_size")).alias("left"))
-    ranked = rows.join(goal.withColumnRenamed("source", "its"), F.col("source").eqNullSafe(F.col("its"))).drop("its")
-    # random odds over inclusion odds; equal within a source up to odds_col, mapped to [0, 1) to be cut into bins
-    pareto = (u / (1 - u)) / (F.greatest(F.col("part"), F.lit(1e-12)) / F.greatest(1 - F.col("part"), F.lit(1e-12)) * F.col("odds"))
-    place = F.least(F.floor(pareto / (1 + pareto) * float(1 << (BITS * LEVELS - 8))), F.lit((1 << (BITS * LEVELS - 8)) - 1))
-    ranked = written(ranked.select("doc_id", "source", "size", "source_size", "target", "whole", "left", place.alias("place")), "mix-ranked")
+    goal = goal.select(F.col("source").alias("its"), "source_size", "target", whole.cast("long").alias("whole"), (per_word - whole).alias("part"), (F.col("target") - whole * F.col("source_size")).alias("left"))
+    goal = written(goal, "mix-goals")
+    ranked = rows.join(goal, _at()).select("source", "size", _place(F.col("draw"), F.col("part"), F.col("odds")).alias("place"))
+    ranked = written(ranked, "mix-ranked")
 
     # find the cut of each source: level by level, the bin in which the words run over what is left
-    top = BITS * LEVELS - 8
-    cut = goal.select(F.col("source").alias("its"), "left", F.lit(0).cast("long").alias("prefix"))
-    shift = top
+    cut = goal.select("its", "left", F.lit(0).cast("long").alias("prefix"))
+    shift = _TOP
     while shift > 0:
         step = min(BITS, shift)
-        inside = ranked.select("source", "size", "place").join(cut, F.col("source").eqNullSafe(F.col("its"))).where(F.shiftright("place", shift) == F.col("prefix"))
+        inside = ranked.join(cut, _at()).where(F.shiftright("place", shift) == F.col("prefix"))
         bins = inside.groupBy("its", F.shiftright("place", shift - step).alias("bin")).agg(F.sum("size").alias("words"), F.first("left").alias("left"))
-        run = Window.partitionBy("its").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        run = Window.partitionBy("its").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # at most 2^BITS bins
         bins = bins.withColumn("upto", F.sum("words").over(run)).where(F.col("upto") > F.col("left"))
         found = bins.groupBy("its").agg(F.min(F.struct("bin", "upto", "words", "left")).alias("x"))
         cut = written(found.select("its", (F.col("x.left") - F.col("x.upto") + F.col("x.words")).alias("left"), F.col("x.bin").alias("prefix")), "mix-cut")
         shift -= step
-    # documents before the cut are taken; the one at the cut if that comes nearer to the target
-    cut = cut.select("its", "prefix", F.col("left").alias("room"))
-    out = ranked.join(cut, F.col("source").eqNullSafe(F.col("its")), "left")
-    drawn = F.when(F.col("prefix").isNull(), F.col("left") > 0).otherwise((F.col("place") < F.col("prefix")) | ((F.col("place") == F.col("prefix")) & (F.col("size") <= 2 * F.col("room"))))
-    copies = F.col("whole") + F.when(drawn & (F.col("left") > 0), 1).otherwise(0)
+    cut = cut.select(F.col("its").alias("cut_of"), "prefix", F.col("left").alias("room"))
+    return written(goal.join(cut, F.col("its").eqNullSafe(F.col("cut_of")), "left").drop("cut_of"), "mix-plan")
+
+
+def _copies(size: Column, place: Column) -> Column:
+    """Copies of a document by its source's plan: those before the cut are drawn, and the one at the cut if that comes nearer to the target."""
+    before = (place < F.col("prefix")) | ((place == F.col("prefix")) & (size <= 2 * F.col("room")))
+    drawn = F.col("prefix").isNull() | before
+    return F.col("whole") + F.when(drawn & (F.col("left") > 0) & (F.col("part") > 0), 1).otherwise(0)
+
+
+def _sized(docs: DataFrame, seed: int, odds_col: str | None, *keep: str) -> DataFrame:
+    return docs.select(*keep, F.col("source").cast("string").alias("source"), words().alias("size"), _odds(odds_col).alias("odds"), _draw(seed).alias("draw"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: float = 3.0, seed: int = 7, odds_col: str | None = None) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) for documents (doc_id, text, source)."""
+    rows = written(_sized(docs, seed, odds_col, "doc_id"), "mix-rows")
+    out = rows.join(plan(rows, weights, max_copies), _at())
+    copies = _copies(F.col("size"), _place(F.col("draw"), F.col("part"), F.col("odds")))
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: float = 3.0, seed: int = 7, odds_col: str | None = None) -> DataFrame:
+    """The documents themselves, each as many times as the mix takes it; columns as before."""
+    rows = written(_sized(docs, seed, odds_col), "mix-rows")
+    shares = plan(rows, weights, max_copies).drop("source_size", "target")
+    renamed = shares.select(*[F.col(c).alias(f"mix {c}") for c in shares.columns])
+    by_source = docs.join(renamed, F.col("source").cast("string").eqNullSafe(F.col("mix its")))
+    plain = by_source.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"`mix {c}`").alias(c) for c in ("prefix", "room", "whole", "left", "part")])
+    copies = _copies(words(), _place(_draw(seed), F.col("part"), _odds(odds_col)))
+    return plain.withColumn("whole", copies.cast("int")).where("whole > 0").withColumn("left", F.explode(F.sequence(F.lit(1), F.col("whole")))).select(*docs.columns)

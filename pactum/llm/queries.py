@@ -5,15 +5,14 @@ A query takes (spark, sf_dir). SQL for DuckDB stands beside those that SQL can e
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
-import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactum.llm import bpe, jaccard_join, mixing, mpeg_audio, secrets, token_store
+from pactum.llm import ann_multiprobe, bpe, jaccard_join, langid_gru, mixing, mpeg_audio, quality_nbsvm, secrets, token_store, toxicity_crf
+from pactum.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -28,6 +27,48 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels outside the held-out fold of the classifiers."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold("doc_id", 3) != 1)
+
+
+def _classified(scored: DataFrame, threshold: float) -> DataFrame:
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(True))
+    return scored.withColumn("held_out", held_out).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+@query
+def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every text from marginals of a linear-chain field."""
+    docs = _documents(spark, sf_dir)
+    field = toxicity_crf.train(docs, _training(spark, sf_dir), "toxic")
+    out = _classified(toxicity_crf.score(docs, field), 0.7)
+    return out.select("doc_id", "held_out", "score", "predicted", F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"))
+
+
+@query
+def op2_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every text from naive Bayes support vectors."""
+    docs = _documents(spark, sf_dir)
+    model = quality_nbsvm.train(docs, _training(spark, sf_dir), "quality")
+    return _classified(quality_nbsvm.score(docs, model), 0.5).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op3_ann_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """20 nearest of every 20th vector by inner product."""
+    return ann_multiprobe.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op4_langid_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text from a bidirectional recurrent network over bytes."""
+    docs = _documents(spark, sf_dir)
+    net = langid_gru.train(docs, docs.where(fold("doc_id", 5) != 0).select("doc_id", "lang"))
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(True))
+    return langid_gru.predict(docs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as token ids in Elias-Fano shards, read back."""

@@ -112,20 +112,22 @@ def redact(docs: DataFrame, max_owners: int = 1, mark: str = "<SECRET>", min_ent
     looks their verdicts up among the live values, joined to the rows that hold any.
     """
     columns = docs.columns
-    scanned = written(scan(docs, min_entropy, holders), "redact-scan")
+    # a row without doc_id goes by the digest of its text
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)))
+    named = docs.select(key.alias("doc_id"), "text", *[F.col(h).alias(f"held{i}") for i, h in enumerate(holders)])
+    scanned = written(scan(named, min_entropy, ("held0", "held1")), "redact-scan")
     live = ownership(scanned).where(F.col("owners") <= max_owners).select("value_hash")
     found = scanned.select("doc_id", F.explode("candidates.value_hash").alias("value_hash")).join(live, "value_hash")
-    per_doc = found.groupBy("doc_id").agg(F.collect_set("value_hash").alias("live_values"))
-    kinds = docs.schema
+    per_doc = written(found.groupBy("doc_id").agg(F.collect_set("value_hash").alias("live_values")).select(F.col("doc_id").alias("found_in"), "live_values"), "redact-live")
 
     @F.pandas_udf("string")
     def masked(text: pd.Series, live_values: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or values is None or not len(values) else mask(t, set(values), mark, min_entropy) for t, values in zip(text, live_values, strict=True)], dtype=object)
 
-    joined = docs.alias("d").join(per_doc.withColumnRenamed("doc_id", "found_in").alias("p"), F.col("d.doc_id") == F.col("p.found_in"), "left")
-    text = F.when(F.col("p.live_values").isNull(), F.col("d.text")).otherwise(masked(F.col("d.text"), F.col("p.live_values")))
-    out = joined.select(*[text.alias(c) if c == "text" else F.col(f"d.`{c}`") for c in columns])
-    return out.withColumn("n_chars", F.length("text").cast(kinds["n_chars"].dataType)) if "n_chars" in columns else out
+    joined = docs.join(per_doc, key == F.col("found_in"), "left")
+    text = masked(F.col("text"), F.col("live_values"))
+    out = joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in columns])
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 
 def mask(text: str, live: set[int], mark: str, min_entropy: float = 3.5) -> str:
