@@ -21,9 +21,9 @@ def squeeze(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
-def strip(c: Column, more: str = "") -> Column:
-    """White space (and the given characters, for a pattern's class) off both ends."""
-    return F.regexp_replace(c, rf"(?U)^[\s{more}]+|[\s{more}]+$", "")
+def strip(c: Column) -> Column:
+    """White space off both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def group(c: Column, pattern: str, n: int = 1) -> Column:

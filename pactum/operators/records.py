@@ -81,7 +81,7 @@ def strip_confidence(records: DataFrame) -> DataFrame:
     return records.select(*[plain[c].alias(c) for c in (*FIELDS, META) if c in have])
 
 
-def violations(records: DataFrame) -> Column:
+def violations(records: DataFrame | None = None) -> Column:
     """Names of the rules that a record breaks: values outside enumerations and ranges, and malformed digests."""
     tiers, sources = ("h2", "bold-numbered", "numbered", "all-caps"), ("deterministic", "llm", "none")
     in_range = lambda c: c.between(0, 1)
