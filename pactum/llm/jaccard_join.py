@@ -15,8 +15,8 @@ It is cut into fragments (ranges of that order), and fragments are worked on sep
    pair. A signature (one byte for each of 2D finer fragments) goes ahead: more unequal
    bytes than the pair's own D prove that it can't link, exactly.
 5. *Rest.* Keys that still hold more than one class have all pairs between classes compared
-   by signature, in blocks of bounded size; those that pass are verified as in 4. Nothing is
-   capped: the result is the same as comparing all pairs.
+   by signature, in blocks of bounded size (by finer ones where many rows meet); those that
+   pass are verified as in 4. Nothing is capped: the result is the same as comparing all pairs.
 6. *Classes* by min-label contraction of the links: joins and partial aggregates only,
    nothing on the driver.
 
@@ -43,6 +43,9 @@ from pactum.llm.shingles import mix64, shingles
 CLASS_GROWTH = 1.6
 #: Fragments in which overlaps are counted.
 COUNT_FRAGMENTS = 4
+#: Keys of so many rows or more are compared by signatures of FINE times D fragments, which let
+#: hardly any pair pass that doesn't link.
+CROWD, FINE = 32, 16
 #: Rows of a key that are compared in one block.
 BLOCK = 256
 
@@ -88,9 +91,10 @@ def keys_in(elements: np.ndarray, size_class: int, percent: int) -> np.ndarray:
     return (mix64(sums + place)[full] & ~np.uint64(63)) | np.uint64(size_class)
 
 
-def signature(elements: np.ndarray, size_class: int, percent: int) -> bytes:
+def signature(elements: np.ndarray, size_class: int, percent: int, fine: int = 2) -> bytes:
+    """A byte for each of ``fine`` times as many fragments as sets of the class can differ in elements."""
     most = int(max_difference(2 * (int(_BOUNDS[size_class + 1]) - 1), percent))
-    sums, _ = _segments(elements, 2 * most + 1)
+    sums, _ = _segments(elements, fine * most + 1)
     return (mix64(sums) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
@@ -115,10 +119,10 @@ def _sets(batches: Iterator[pd.DataFrame], k: int, percent: int) -> Iterator[pd.
             s = shingles(text, k)
             cut = np.searchsorted((s >> np.uint64(32)) * np.uint64(COUNT_FRAGMENTS) >> np.uint64(32), np.arange(COUNT_FRAGMENTS + 1, dtype=np.uint64))
             for f in range(COUNT_FRAGMENTS):
-                sigs = [(c, signature(s, c, percent)) for c in classes_of(len(s), percent)] if f == 0 else []
-                rows.append((node, len(s), f, s[cut[f] : cut[f + 1]].view(np.int64), [c for c, _ in sigs], [x for _, x in sigs]))
+                classes = classes_of(len(s), percent) if f == 0 else []
+                rows.append((node, len(s), f, s[cut[f] : cut[f + 1]].view(np.int64), classes, [signature(s, c, percent) for c in classes], [signature(s, c, percent, FINE) for c in classes]))
         if rows:
-            yield pd.DataFrame(rows, columns=["node", "n", "frag", "elements", "classes", "signatures"])
+            yield pd.DataFrame(rows, columns=["node", "n", "frag", "elements", "classes", "signatures", "fine"])
 
 
 def _differ(a: np.ndarray, b: np.ndarray) -> int:
@@ -135,7 +139,7 @@ def _may_link(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.Data
 
 def _pairs_of_run(x: pd.DataFrame, percent: int) -> Iterator[pd.DataFrame]:
     """Pairs between classes within each group of sorted rows that signatures don't rule out."""
-    for _, part in x.groupby("size_class", sort=False):
+    for _, part in x.groupby(["size_class", "crowded"], sort=False):
         sig = np.frombuffer(b"".join(part["sig"]), np.uint8).reshape(len(part), -1)
         group, node, comp, n = (part[c].to_numpy() for c in ("group", "node", "comp", "n"))
         side = part["side"].to_numpy()
@@ -223,9 +227,10 @@ def link_classes(docs: DataFrame, k: int = 5, percent: int = 80, name: str = "ja
     shared = written(shared, f"{name}-shared")
 
     nodes = shared.select("node").distinct()
-    sets = base.select(F.col("doc_id").alias("node"), "text").join(nodes, "node").dropDuplicates(["node"]).mapInPandas(lambda it: _sets(it, k, percent), "node long, n long, frag int, elements array<long>, classes array<int>, signatures array<binary>")
+    sets = base.select(F.col("doc_id").alias("node"), "text").join(nodes, "node").dropDuplicates(["node"]).mapInPandas(lambda it: _sets(it, k, percent), "node long, n long, frag int, elements array<long>, classes array<int>, signatures array<binary>, fine array<binary>")
     sets = written(sets, f"{name}-sets")
-    signed = sets.where("frag = 0").select("node", "n", F.explode(F.arrays_zip("classes", "signatures")).alias("x")).select("node", "n", F.col("x.classes").alias("size_class"), F.col("x.signatures").alias("sig"))
+    signed = sets.where("frag = 0").select("node", "n", F.explode(F.arrays_zip("classes", "signatures", "fine")).alias("x"))
+    signed = signed.select("node", "n", F.col("x.classes").alias("size_class"), F.col("x.signatures").alias("sig"), F.col("x.fine").alias("fine"))
 
     sparse = shared.select("node", F.explode(F.array_distinct(F.array("before", "hub"))).alias("other")).where("other is not null and other <> node")
     sparse = sparse.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
@@ -238,11 +243,12 @@ def link_classes(docs: DataFrame, k: int = 5, percent: int = 80, name: str = "ja
     # keys that hold more than one class yet
     now = shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
     now = written(now, f"{name}-now")
-    open_keys = now.groupBy("key").agg(F.count("*").alias("rows"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    open_keys = now.groupBy("key").agg(F.count("*").alias("rows"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key", (F.col("rows") >= CROWD).alias("crowded"), F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
     dealt = now.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "node", "comp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
+    dealt = dealt.select("key", "node", "comp", "crowded", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
     dealt = dealt.withColumn("size_class", F.col("key").bitwiseAND(F.lit(63)).cast("int")).join(signed, ["node", "size_class"])
+    dealt = dealt.withColumn("sig", F.when(F.col("crowded"), F.col("fine")).otherwise(F.col("sig"))).drop("fine")
     by_class = ["size_class", "key", "low", "high"]
     rest = dealt.repartition(*by_class).sortWithinPartitions(*by_class)
     rest = rest.mapInPandas(lambda it: _between_classes(it, percent), "a long, b long").distinct()
