@@ -23,13 +23,16 @@ doc_id come first.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,56 +151,111 @@ class Shard:
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
 
+class Memory:
+    """Strings with the ids they encode to. When full, it keeps what was asked for more than once."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.place: dict[str, int] = {"": 0}
+        self.flat, self.ends, self.asked = np.empty(0, np.int32), np.zeros(2, np.int64), np.zeros(1, np.int32)
+
+    def shrink(self) -> None:
+        if len(self.place) <= self.most:
+            return
+        kept = np.flatnonzero(self.asked > 1)
+        kept = kept[-self.most // 2 :] if len(kept) > self.most // 2 else kept
+        keep = np.zeros(len(self.asked), bool)
+        keep[0] = keep[kept] = True
+        lengths = np.diff(self.ends)
+        names = [n for n, k in zip(self.place, keep.tolist(), strict=True) if k]
+        self.flat = self.flat[np.repeat(keep, lengths)]
+        self.ends = np.concatenate([[0], np.cumsum(lengths[keep])])
+        self.asked = np.zeros(len(names), np.int32)
+        self.place = dict(zip(names, range(len(names)), strict=True))
+
+    def add(self, names: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.place.update(zip(names, range(len(self.place), len(self.place) + len(names)), strict=True))
+        self.flat = np.concatenate([self.flat, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+        self.asked = np.concatenate([self.asked, np.zeros(len(names), np.int32)])
+
+    def get(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lists of known strings, concatenated, and how many each list has."""
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        index = np.fromiter(map(self.place.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
+        self.asked += np.minimum(np.bincount(index, minlength=len(self.asked)), 2).astype(np.int32)
+        lengths = self.ends[index + 1] - self.ends[index]
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        ids = self.flat[np.arange(total[-1]) + np.repeat(self.ends[index] - total[:-1], lengths)]
+        cut = np.concatenate([[0], np.cumsum(counts)])
+        return ids, total[cut[1:]] - total[cut[:-1]]
+
+
 class WordEncoder:
-    """The tokenizers library with a memory of what white-space separated words encode to.
+    """The tokenizers library with a memory of what words and their pieces encode to.
 
     For a tokenizer that drops white space and cuts at it before its model runs, the ids of a
-    text are those of its words, one after the other; each distinct word meets the library once
-    while it is remembered. Other tokenizers get whole texts.
+    text are those of its words, one after the other; those of a word are those of its pieces
+    by the tokenizer's own pattern. Each distinct piece meets the library once while it is
+    remembered. Words with characters whose normal form can depend on their neighbours are
+    pieces of their own; other tokenizers get whole texts.
     """
 
     def __init__(self, path: str, remember: int = 400_000):
-        import json
-
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.splitter = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
         split = (kind.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
-        self.by_word = split.get("type") == "Split" and split.get("invert") and split.get("behavior") == "Removed" and "\\s" in split["pattern"].get("Regex", "")
-        self.remember = remember
-        self._forget()
+        normal = [n["type"] for n in (kind.get("normalizer") or {}).get("normalizers", [])]
+        pattern = split.get("pattern", {}).get("Regex", "") if split.get("type") == "Split" else ""
+        self.by_word = bool(pattern) and split.get("invert") and split.get("behavior") == "Removed" and "\\s" in pattern and normal == ["NFC", "Replace", "Lowercase"]
+        self.pattern = regex.compile(pattern)
+        self.specials = [t["content"] for t in kind.get("added_tokens") or []]
+        # fixed and special, and not normalised: it is found in any text as it stands
+        special = [t for t in kind.get("added_tokens") or [] if t["special"] and not t["normalized"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"]]
+        self.mark, self.mark_id = (special[-1]["content"], special[-1]["id"]) if special else (None, -1)
+        self.words, self.pieces = Memory(remember), Memory(remember)
 
     @classmethod
     @lru_cache(maxsize=2)
     def load(cls, path: str) -> WordEncoder:
         return cls(path)
 
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.flat, self.ends = np.empty(0, np.int32), np.zeros(2, np.int64)
+    def _by_library(self, pieces: list[str]) -> None:
+        """Remember pieces.
+
+        Many go to the library as one text, with the tokenizer's special token between them, whose
+        id no ordinary text can have; pieces that hold that token go one by one.
+        """
+        plain = [w for w in pieces if self.mark is not None and not any(s in w for s in self.specials)]
+        odd = [w for w in pieces if self.mark is None or any(s in w for s in self.specials)]
+        for i in range(0, len(plain), 1000):
+            part = plain[i : i + 1000]
+            got = np.array(self.splitter.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, dtype=np.int32)
+            cut = np.concatenate([[-1], np.flatnonzero(got == self.mark_id), [len(got)]])
+            if len(cut) != len(part) + 1:
+                raise ValueError("the tokenizer's special token doesn't part words")
+            self.pieces.add(part, got[got != self.mark_id], np.diff(cut) - 1)
+        for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            self.pieces.add([w], np.array(e.ids, dtype=np.int32), np.array([len(e.ids)]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         words = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > self.remember:
-            self._forget()
-        new = list(set().union(*words) - self.known.keys())
+        self.words.shrink()
+        new = list(set().union(*words) - self.words.place.keys())
         if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for f in found for i in f), np.int32, int(lengths.sum()))])
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        index = np.fromiter((self.known[w] for ws in words for w in ws), np.int64, int(counts.sum()))
-        lengths = self.ends[index + 1] - self.ends[index]
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.flat[np.arange(total[-1]) + np.repeat(self.ends[index] - total[:-1], lengths)]
-        return np.split(ids, total[np.cumsum(counts)][:-1])
+            cut = self.pattern.findall
+            pieces = [cut(w.lower()) if w < "\u0250" and max(w) < "\u0250" and "<|" not in w else [w] for w in new]
+            self.pieces.shrink()
+            self._by_library(list(set().union(*pieces) - self.pieces.place.keys()))
+            self.words.add(new, *self.pieces.get(pieces))
+        ids, lengths = self.words.get(words)
+        return np.split(ids, np.cumsum(lengths)[:-1])
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_ids: int = SHARD_IDS) -> DataFrame:
