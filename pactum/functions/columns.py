@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +16,21 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _quoted(v: object) -> str:
+    return str(v) if isinstance(v, int) else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_map(pairs: Iterable[tuple[object, object]]) -> Column:
+    """A map of constants, built as one expression."""
+    return F.expr("map(" + ", ".join(_quoted(x) for pair in pairs for x in pair) + ")")
+
+
+def literal_rows(rows: Iterable[tuple[object, ...]], *names: str) -> Column:
+    """An array of structs of constants, built as one expression."""
+    one = lambda r: "named_struct(" + ", ".join(f"'{n}', {_quoted(v)}" for n, v in zip(names, r, strict=True)) + ")"
+    return F.expr("array(" + ", ".join(one(r) for r in rows) + ")")
+
+
 def squeeze(c: Column) -> Column:
     """Runs of white space, Unicode included, to one space; ends stripped."""
     return strip(F.regexp_replace(c, r"(?U)\s+", " "))

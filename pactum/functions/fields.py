@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pactum.functions import patterns as P
 from pactum.functions import vocab as V
-from pactum.functions.columns import envelope, group, groups, let, matches, squeeze, strip, title_case, words
+from pactum.functions.columns import envelope, group, groups, let, literal_map, literal_rows, matches, squeeze, strip, title_case, words
 
 
 def flatten(text: Column) -> Column:
@@ -23,7 +23,7 @@ def flatten(text: Column) -> Column:
 
 def number(token: Column) -> Column:
     """Digits or a number word as int; anything else null."""
-    table = F.create_map(*[F.lit(x) for pair in V.NUMBER_WORDS.items() for x in pair])
+    table = literal_map(V.NUMBER_WORDS.items())
     return let(F.lower(strip(token)), lambda t: F.coalesce(t.try_cast("int"), F.try_element_at(table, t)))
 
 
@@ -82,8 +82,8 @@ def place_key(name: Column) -> Column:
 def jurisdiction(law: Column) -> Column:
     """Code of a place: its exact name, else the first name of the table, of 5 letters or more, that it contains."""
     rows = V.places()
-    codes = F.create_map(*[F.lit(x) for _, name, code in rows for x in (name, code)])
-    long = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(c).alias("code")) for _, n, c in rows if len(n) >= V.MIN_CONTAINED])
+    codes = literal_map((name, code) for _, name, code in rows)
+    long = literal_rows(((n, c) for _, n, c in rows if len(n) >= V.MIN_CONTAINED), "name", "code")
     contained = lambda key: F.try_element_at(F.filter(long, lambda p: F.contains(key, p["name"])), F.lit(1))["code"]
     code = let(place_key(law), lambda key: F.coalesce(F.try_element_at(codes, key), contained(key)))
     return envelope(F.when(strip(law) != "", code), V.JURISDICTION, "string")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pactum.functions import patterns as P
 from pactum.functions import vocab as V
-from pactum.functions.columns import let, matches, strip, title_case, words
+from pactum.functions.columns import let, literal_map, literal_rows, matches, strip, title_case, words
 
 #: A detected heading.
 HEADING = "struct<title:string,detected:string,start:int,end:int>"
@@ -116,10 +116,10 @@ def detected(text: Column) -> Column:
 def canonical(title: Column) -> Column:
     """struct<title,mapped>: exact key, else the longest alias (first on ties) that contains or is contained, else the title itself."""
     rows = V.aliases()
-    names = F.create_map(*[F.lit(x) for _, k, t in rows for x in (k, t)])
+    names = literal_map((k, t) for _, k, t in rows)
     # longest first, so that the first that fits is the arg-max
     long = sorted((r for r in rows if len(r[1]) >= V.MIN_CONTAINED), key=lambda r: (-len(r[1]), r[0]))
-    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("t")) for _, k, t in long])
+    table = literal_rows(((k, t) for _, k, t in long), "k", "t")
     near = lambda key: F.try_element_at(F.filter(table, lambda a: F.contains(key, a["k"]) | F.contains(a["k"], key)), F.lit(1))["t"]
     plain = title_case(F.regexp_replace(strip(title), "[ .:;,]+$", ""))
     named = lambda found: F.struct(F.coalesce(found, plain).alias("title"), found.isNotNull().alias("mapped"))

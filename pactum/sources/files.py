@@ -60,14 +60,14 @@ def _decoded(content: pd.Series, kind: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "warning"])
 
 
-def decode(files: DataFrame) -> DataFrame:
+def decode(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(path, text, format, sha256, warnings, error) of files (path, length, content).
 
     Files above the size limit have an error and no text. Only HTML, DOCX and PDF contents cross
     to Python: the others are null there.
     """
     fits = F.col("length") <= MAX_FILE_BYTES
-    base = files.select("path", "length", F.when(fits, F.col("content")).alias("content")).withColumn("format", format_of(F.col("path"), F.coalesce("content", F.lit(b""))))
+    base = files.select(*keep, "path", "length", F.when(fits, F.col("content")).alias("content")).withColumn("format", format_of(F.col("path"), F.coalesce("content", F.lit(b""))))
     rich = F.col("format").isin("html", "docx", "pdf")
     base = base.withColumn("decoded", _decoded(F.when(rich, F.col("content")), F.col("format")))
     text = F.coalesce(F.when(rich, F.col("decoded.text")).otherwise(valid_utf8(F.col("content"))), F.lit(""))
@@ -75,7 +75,7 @@ def decode(files: DataFrame) -> DataFrame:
     empty = fits & (F.trim(F.translate("text", "\n\r\t", "   ")) == "") & (F.coalesce(F.col("decoded.warning"), F.lit("")) == "")
     warnings = F.filter(F.array(F.nullif("decoded.warning", F.lit("")), F.when(empty, F.lit("no text could be extracted"))), lambda w: w.isNotNull())
     error = F.when(~fits, F.concat(F.lit("file is larger than "), F.lit(str(MAX_FILE_BYTES)), F.lit(" bytes")))
-    return base.select("path", "text", "format", F.sha2("content", 256).alias("sha256"), warnings.alias("warnings"), error.alias("error"))
+    return base.select(*keep, "path", "text", "format", F.sha2("content", 256).alias("sha256"), warnings.alias("warnings"), error.alias("error"))
 
 
 def scan(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
