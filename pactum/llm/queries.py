@@ -116,3 +116,23 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sources mixed to weights 5, 2, 1 with at most three copies."""
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE_SQL["op9_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), places AS (
+  SELECT doc_id, ws, unnest(CASE WHEN len(ws) = 0 OR ws IS NULL THEN [] WHEN len(ws) < 4 THEN [1] ELSE range(1, len(ws) - 2) END) AS i FROM w
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 3], ' ') AS g FROM places
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), both_in AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s AS x JOIN s AS y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM both_in JOIN n AS na ON na.doc_id = a JOIN n AS nb ON nb.doc_id = b WHERE 100 * k >= 85 * (na.n + nb.n - k)
+), edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach AS r JOIN edges AS e ON r.b = e.a
+), least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.m, d.doc_id)) AS component_id
+FROM documents AS d LEFT JOIN n USING (doc_id) LEFT JOIN least AS l ON l.a = d.doc_id
+"""
