@@ -133,7 +133,7 @@ def test_files_and_stream(spark, tmp_path):
     (folder / "b.txt").write_text("<html><p>two</p></html>")
     (folder / "c.bin").write_bytes(_pdf(b"BT (three) Tj ET"))
     (folder / "d.docx").write_bytes(b"PK broken")
-    (folder / "e.txt").write_bytes(b"")
+    (folder / "e.txt").write_bytes(b"\n")
     (folder / "f.md").write_bytes((folder / "a.md").read_bytes())
     got = {r.path[-4:]: r for r in files.scan(spark, str(folder)).collect()}
     assert [got[k].format for k in ("a.md", ".bin", "docx")] == ["markdown", "pdf", "docx"]
