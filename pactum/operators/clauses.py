@@ -162,7 +162,7 @@ def vocabulary(spark: SparkSession) -> DataFrame:
 def explode_detected(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, tier, pos, title, detected, start, end) of every heading of documents (doc_id, text), before filters."""
     found = docs.select(F.col(doc_id).alias("doc_id"), detected(F.col("text")).alias("found"))
-    return found.select("doc_id", "found.tier", F.posexplode("found.headings").alias("pos", "h")).select("doc_id", "tier", "pos", "h.title", "h.detected", "h.start", "h.end")
+    return found.select("doc_id", "found.tier", F.posexplode_outer("found.headings").alias("pos", "h")).where("pos is not null").select("doc_id", "tier", "pos", "h.title", "h.detected", "h.start", "h.end")
 
 
 def canonical_titles(titles: DataFrame) -> DataFrame:

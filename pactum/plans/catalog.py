@@ -246,7 +246,7 @@ _LADDER = ", ".join(f"('{t}', true, {a}), ('{t}', false, {b})" for t, (a, b) in
 @query(oracle(f"SELECT w.tier, w.mapped, CAST(c.conf AS DOUBLE) AS confidence, count(*) AS clauses FROM {_FOUR} AS w JOIN (VALUES {_LADDER}) AS c(tier, mapped, conf) ON w.tier = c.tier AND w.mapped = c.mapped GROUP BY 1, 2, 3"))
 def clause_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contracts(spark, sf_dir).select(C.detected(F.col("text")).alias("d"))
-    c = found.select(F.explode(C.clause_map(F.col("d"))).alias("c")).select("c.*")
+    c = found.select(F.explode_outer(C.clause_map(F.col("d"))).alias("c")).select("c.*").where("tier is not null")
     return c.groupBy("tier", "mapped", "confidence").agg(F.count("*").alias("clauses"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def mapped_clauses(records: DataFrame, key: str) -> DataFrame:
     """(key, canonical_title) of clauses that the vocabulary knows."""
-    return records.select(key, F.explode("clauses").alias("c")).where("c.mapped").select(key, F.col("c.canonical_title").alias("canonical_title")).distinct()
+    return records.select(key, F.explode_outer("clauses").alias("c")).where("c.mapped").select(key, F.col("c.canonical_title").alias("canonical_title")).distinct()
 
 
 def coverage_gap(records: DataFrame, standard: list[str], key: str) -> tuple[DataFrame, DataFrame]:
@@ -27,7 +27,7 @@ def confidence_gate(records: DataFrame, least: float) -> DataFrame:
 
 def mapped_share(records: DataFrame) -> DataFrame:
     """(clauses, mapped, pct) of the corpus."""
-    one = records.select(F.explode("clauses.mapped").alias("m"))
+    one = records.select(F.explode_outer("clauses.mapped").alias("m")).where("m is not null")
     return one.agg(F.count("*").alias("clauses"), F.sum(F.col("m").cast("long")).alias("mapped"), F.round(100 * F.avg(F.col("m").cast("double")), 3).alias("pct"))
 
 
