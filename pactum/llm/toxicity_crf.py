@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -109,7 +108,7 @@ class Tagger:
     def emissions(self, words: list[list[str]], counts: np.ndarray) -> np.ndarray:
         if len(self.known) > REMEMBER:
             self._forget()
-        new = list(set().union(*words) - self.known.keys())
+        new = list(set().union(*words).difference(self.known))
         if new:
             ids = np.array([_features(normal(w)) for w in new])
             w = self.field.weights
@@ -160,20 +159,45 @@ class Tagger:
         return 1 / (1 + np.exp(-np.clip(x, -30, 30))), found
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(31))
+
+
+def _keys(word: str) -> tuple[str, ...]:
+    """A word, and its prefixes of 4 and 5 letters as keys of their own."""
+    return (word, word[:4] + "~", word[:5] + "~") if len(word) > 3 else (word,)
+
+
 def token_labels(texts: list[str], toxic: np.ndarray, least: int = 8, log_odds: float = 2.5) -> list[np.ndarray | None]:
     """0/1 for each token; None for toxic texts in which nothing stands out."""
-    seen: dict[str, list[set]] = defaultdict(lambda: [set(), set()])
-    split = [[normal(w) for w in t.split()] for t in texts]
-    for words, y in zip(split, toxic.tolist(), strict=True):
-        for p, w, q in zip(["", *words[:-1]], words, [*words[1:], ""], strict=True):
-            context = hash((p, q))
-            for key in {w, w[:4] + "~", w[:5] + "~"} if len(w) > 3 else {w}:
-                seen[key][y].add(context)
+    place: dict[str, int] = {}
+    split = [np.fromiter((place.setdefault(normal(w), len(place)) for w in t.split()), np.int64) for t in texts]
+    names: dict[str, int] = {}
+    keys = np.full((len(place), 3), -1, dtype=np.int64)
+    for word, i in place.items():
+        for j, k in enumerate(_keys(word)):
+            keys[i, j] = names.setdefault(k, len(names))
+    contexts = np.zeros((2, len(names)), dtype=np.int64)
+    for y in (0, 1):
+        mine = [w for w, t in zip(split, toxic.tolist(), strict=True) if t == y and len(w)]
+        word = np.concatenate(mine) if mine else np.empty(0, np.int64)
+        before = np.concatenate([np.append(-1, w[:-1]) for w in mine]) if mine else word
+        after = np.concatenate([np.append(w[1:], -1) for w in mine]) if mine else word
+        around = _mix(_mix((before + 1).astype(np.uint64)) + (after + 1).astype(np.uint64))
+        for j in range(3):
+            key = keys[word, j]
+            seen = np.unique(_mix(around + (key + 2).astype(np.uint64)), return_index=True)[1]
+            key = key[seen]
+            contexts[y] += np.bincount(key[key >= 0], minlength=len(names))
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    bad = {k for k, (c, t) in seen.items() if len(t) >= least and np.log((len(t) + 0.5) / n1) - np.log((len(c) + 0.5) / n0) >= log_odds and k.rstrip("~")}
+    odds = np.log((contexts[1] + 0.5) / n1) - np.log((contexts[0] + 0.5) / n0)
+    bad = (contexts[1] >= least) & (odds >= log_odds)
+    bad[[i for k, i in names.items() if not k.rstrip("~")]] = False
+    is_bad = (np.append(bad, False)[keys]).any(axis=1)
     out: list[np.ndarray | None] = []
     for words, y in zip(split, toxic.tolist(), strict=True):
-        labels = np.array([y and (w in bad or (len(w) > 3 and (w[:4] + "~" in bad or w[:5] + "~" in bad))) for w in words], dtype=np.float32)
+        labels = (is_bad[words] & bool(y)).astype(np.float32)
         out.append(None if y and not labels.any() else labels)
     return out
 
@@ -195,11 +219,11 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 6, batch: int = 512,
         return field
     labels = token_labels(texts, toxic)
     used = [i for i, y in enumerate(labels) if y is not None and len(y)]
-    words = [texts[i].split() for i in used]
-    counts = np.fromiter(map(len, words), np.int64, len(words))
-    place = {w: k for k, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
+    place: dict[str, int] = {}
+    tokens = [np.fromiter((place.setdefault(w, len(place)) for w in texts[i].split()), np.int64) for i in used]
+    counts = np.fromiter(map(len, tokens), np.int64, len(tokens))
     table = np.array([_features(normal(w)) for w in place])
-    index = np.fromiter((place[w] for ws in words for w in ws), np.int64, int(counts.sum()))
+    index = np.concatenate(tokens)
     y = np.concatenate([labels[i] for i in used])
     _, mask, at = _seg(y, counts)
     rng = np.random.default_rng(seed)
