@@ -16,13 +16,13 @@ training row every text is ``und``; with one language, every text with a letter
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +31,7 @@ from pactum.llm import sampling
 PER_LANGUAGE, LANGUAGES = 400, 100
 SEGMENT, HIDDEN = 128, 8
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _SPREAD = np.zeros(256, np.float32)
 _SPREAD[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 #: Columns of a matrix that is worked on at a time.
