@@ -5,6 +5,8 @@ A field that isn't selected costs nothing: Catalyst prunes its expression.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,31 +23,39 @@ def low_signal(parties: Column, clauses: Column, effective: Column, law: Column,
     return (F.size(parties) == 0) & (F.size(clauses) == 0) & effective["value"].isNull() & law["value"].isNull() & (F.size(terms) == 0)
 
 
-def extract(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Records of documents (path, text, format, sha256); columns in keep go along.
+@lru_cache(maxsize=4)
+def _columns(application: str) -> tuple[Column, list[Column]]:
+    """Detected headings, and the fields of a record, over columns path, text, format, sha256, flat and detected.
 
-    Null texts give records in which nothing is found.
+    Thousands of expressions; built once for each application.
     """
     text, flat = F.col("text"), F.col("flat")
-    base = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    base = base.withColumn("flat", X.flatten(text)).withColumn("detected", C.detected(text))
-    law = X.governing_law(flat)
     meta = F.struct(F.lit(__version__).alias("extractor_version"), F.array(F.lit("deterministic")).alias("tiers_used"), F.lit(False).alias("llm_used"))
-    out = base.select(
-        *keep,
+    return C.detected(text), [
         F.struct(X.title(text, F.col("path")).alias("title"), F.col("format"), F.col("sha256"), F.col("path").alias("source_path")).alias("document"),
         X.parties(flat).alias("parties"),
         F.struct(X.effective_date(flat).alias("effective"), X.expiration_date(flat).alias("expiration")).alias("dates"),
         F.struct(X.term_length(flat).alias("length"), X.auto_renew(flat).alias("auto_renew"), X.notice_days(flat).alias("notice_period_days")).alias("term"),
-        law.alias("governing_law"),
-        X.jurisdiction(law["value"]).alias("jurisdiction"),
+        X.governing_law(flat).alias("governing_law"),
+        X.jurisdiction(X.governing_law(flat)["value"]).alias("jurisdiction"),
         C.clause_map(F.col("detected")).alias("clauses"),
         X.defined_terms(flat).alias("defined_terms"),
         X.headline_value(flat).alias("value"),
         X.amounts(flat).alias("amounts"),
         X.signatories(text).alias("signatories"),
         meta.alias(META),
-    )
+    ]
+
+
+def extract(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Records of documents (path, text, format, sha256); columns in keep go along.
+
+    Null texts give records in which nothing is found.
+    """
+    detected, fields = _columns(docs.sparkSession.sparkContext.applicationId)
+    base = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    base = base.withColumn("flat", X.flatten(F.col("text"))).withColumn("detected", detected)
+    out = base.select(*keep, *fields)
     return out.withColumn("low_signal", low_signal(F.col("parties"), F.col("clauses"), F.col("dates.effective"), F.col("governing_law"), F.col("defined_terms")))
 
 
