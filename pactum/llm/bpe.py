@@ -36,7 +36,7 @@ _BY_SPACE = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 #: Widths of the matrices.
 BUCKETS = (4, 8, 16, 32, 64, 128, 256)
 #: Distinct pre-tokens that a worker remembers; it starts anew beyond that.
-REMEMBER = 400_000
+REMEMBER = 200_000
 #: Cells of a matrix that is worked on at a time.
 CELLS = 60_000
 _NONE = np.int32(2**31 - 1)
@@ -105,7 +105,7 @@ class BytePairs:
         self.lengths = np.array([len(t) for t in self.bytes_of], dtype=np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
         self.blob = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
-        self._forget()
+        self.forget()
 
     @classmethod
     @lru_cache(maxsize=2)
@@ -113,7 +113,7 @@ class BytePairs:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.ends = np.empty(0, np.int32), np.zeros(1, np.int64)
 
@@ -220,8 +220,8 @@ class BytePairs:
         cut = _BY_SPACE.findall if self.by_space else self.pattern.findall
         chunks = [cut(t) if t else [] for t in texts]
         if len(self.known) > REMEMBER:
-            self._forget()
-        new = set().union(*chunks) - self.known.keys()
+            self.forget()
+        new = set().union(*chunks).difference(self.known)
         if new:
             self._learn(list(new))
         counts = np.fromiter(map(len, chunks), np.int64, len(chunks))
@@ -263,6 +263,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), type=pa.int32())
                     yield pa.RecordBatch.from_arrays([x.column("doc_id").slice(at, len(group)), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["doc_id", "ids"])
                     at += len(group)
+        bpe.forget()  # the worker may go on to other tasks
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
