@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go as soon as the query has ended, and Python gets
+#: rows in small batches.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,17 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def shuffle_files_freed(spark: SparkSession) -> Iterator[None]:
-    """Within it, the shuffle files of a query go as soon as the query has ended."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -46,7 +49,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with shuffle_files_freed(spark):
+    with settings(spark, _WRITING):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
