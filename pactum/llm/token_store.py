@@ -24,6 +24,7 @@ doc_id come first.
 from __future__ import annotations
 
 import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -201,7 +202,7 @@ class WordEncoder:
     pieces of their own; other tokenizers get whole texts.
     """
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.splitter = Tokenizer.from_file(path), Tokenizer.from_file(path)
@@ -217,7 +218,12 @@ class WordEncoder:
         # fixed and special, and not normalised: it is found in any text as it stands
         special = [t for t in kind.get("added_tokens") or [] if t["special"] and not t["normalized"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"]]
         self.mark, self.mark_id = (special[-1]["content"], special[-1]["id"]) if special else (None, -1)
-        self.words, self.pieces = Memory(remember), Memory(remember)
+        self.lead = os.path.commonprefix(self.specials)
+        self.remember = remember
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.pieces = Memory(self.remember), Memory(self.remember)
 
     @classmethod
     @lru_cache(maxsize=2)
@@ -230,8 +236,9 @@ class WordEncoder:
         Many go to the library as one text, with the tokenizer's special token between them, whose
         id no ordinary text can have; pieces that hold that token go one by one.
         """
-        plain = [w for w in pieces if self.mark is not None and not any(s in w for s in self.specials)]
-        odd = [w for w in pieces if self.mark is None or any(s in w for s in self.specials)]
+        odd = [w for w in pieces if self.mark is None or (self.lead in w and any(s in w for s in self.specials))]
+        skip = set(odd)
+        plain = [w for w in pieces if w not in skip] if skip else pieces
         for i in range(0, len(plain), 1000):
             part = plain[i : i + 1000]
             got = np.array(self.splitter.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, dtype=np.int32)
@@ -247,12 +254,13 @@ class WordEncoder:
             return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         words = [t.replace("\n", " ").split(" ") for t in texts]
         self.words.shrink()
-        new = list(set().union(*words) - self.words.place.keys())
+        new = list(set().union(*words).difference(self.words.place))
         if new:
-            cut = self.pattern.findall
-            pieces = [cut(w.lower()) if w < "\u0250" and max(w) < "\u0250" and "<|" not in w else [w] for w in new]
+            cut, lead = self.pattern.findall, self.lead
+            # a word of letters is one piece; one of other characters is cut if its lower case can't depend on neighbours
+            pieces = [([w.lower()] if w.isalpha() else cut(w.lower())) if (w.isascii() or max(w) < "\u0250") and (not lead or lead not in w) else [w] for w in new]
             self.pieces.shrink()
-            self._by_library(list(set().union(*pieces) - self.pieces.place.keys()))
+            self._by_library(list(set().union(*pieces).difference(self.pieces.place)))
             self.words.add(new, *self.pieces.get(pieces))
         ids, lengths = self.words.get(words)
         return np.split(ids, np.cumsum(lengths)[:-1])
