@@ -7,7 +7,8 @@ It is cut into fragments (ranges of that order), and fragments are worked on sep
    before the shuffle, so thousands of copies cost one row each and no pair.
 2. *Candidates.* Two sets with J >= t differ in at most D = (1-t)/(1+t) * (|a|+|b|) n-grams.
    With D+1 fragments at least one fragment is the same in both, so equal (fragment, content)
-   keys find every pair that can link. Sizes fall in geometric classes, each with its own
+   keys find every pair that can link (empty fragments are keys only where no other need be
+   equal). Sizes fall in geometric classes, each with its own
    D; a set also takes part in the next class where a partner can be that much larger.
 3. *Sparse links.* Within a key, each set is first paired with the smallest set and with its
    neighbour by size: as many pairs as rows, not their square.
@@ -45,7 +46,10 @@ CLASS_GROWTH = 1.6
 COUNT_FRAGMENTS = 4
 #: Keys of so many rows or more are compared by signatures of FINE times D fragments, which let
 #: hardly any pair pass that doesn't link.
-CROWD, FINE = 32, 16
+CROWD, FINE = 32, 8
+#: Elements of sets that leave Python in one batch, about.
+ELEMENTS = 200_000
+_SET_COLUMNS = ["node", "n", "frag", "elements", "classes", "signatures", "fine"]
 #: Rows of a key that are compared in one block.
 BLOCK = 256
 
@@ -81,14 +85,21 @@ def _segments(elements: np.ndarray, fragments: int) -> tuple[np.ndarray, np.ndar
 
 
 def keys_in(elements: np.ndarray, size_class: int, percent: int) -> np.ndarray:
-    """A key for each fragment that isn't empty. None where only identical sets can link."""
-    most = int(max_difference(2 * (int(_BOUNDS[size_class + 1]) - 1), percent))
+    """A key for each fragment that can be the one in which two linked sets are equal.
+
+    None where only identical sets can link. An empty fragment counts only if the differences of
+    a possible pair are enough to spoil all that aren't empty: otherwise one of those is equal.
+    """
+    largest = int(_BOUNDS[size_class + 1]) - 1
+    most = int(max_difference(2 * largest, percent))
     if most == 0:
         return np.empty(0, dtype=np.uint64)
     sums, full = _segments(elements, most + 1)
     place = mix64(np.arange(most + 1, dtype=np.uint64) * np.uint64(4096) + np.uint64(size_class + 1))
     # the lowest six bits name the class (there are under 64)
-    return (mix64(sums + place)[full] & ~np.uint64(63)) | np.uint64(size_class)
+    keys = (mix64(sums + place) & ~np.uint64(63)) | np.uint64(size_class)
+    partner = min(largest, 100 * len(elements) // percent)
+    return keys if max_difference(len(elements) + partner, percent) >= full.sum() else keys[full]
 
 
 def signature(elements: np.ndarray, size_class: int, percent: int, fine: int = 2) -> bytes:
@@ -114,15 +125,19 @@ def _keyed(batches: Iterator[pd.DataFrame], k: int, percent: int) -> Iterator[pd
 def _sets(batches: Iterator[pd.DataFrame], k: int, percent: int) -> Iterator[pd.DataFrame]:
     """Rows (node, frag, elements); those of frag 0 also carry the signatures by class."""
     for batch in batches:
-        rows = []
+        rows, size = [], 0
         for node, text in zip(batch["node"], batch["text"], strict=True):
             s = shingles(text, k)
             cut = np.searchsorted((s >> np.uint64(32)) * np.uint64(COUNT_FRAGMENTS) >> np.uint64(32), np.arange(COUNT_FRAGMENTS + 1, dtype=np.uint64))
             for f in range(COUNT_FRAGMENTS):
                 classes = classes_of(len(s), percent) if f == 0 else []
                 rows.append((node, len(s), f, s[cut[f] : cut[f + 1]].view(np.int64), classes, [signature(s, c, percent) for c in classes], [signature(s, c, percent, FINE) for c in classes]))
+            size += len(s)
+            if size >= ELEMENTS:
+                yield pd.DataFrame(rows, columns=_SET_COLUMNS)
+                rows, size = [], 0
         if rows:
-            yield pd.DataFrame(rows, columns=["node", "n", "frag", "elements", "classes", "signatures", "fine"])
+            yield pd.DataFrame(rows, columns=_SET_COLUMNS)
 
 
 def _differ(a: np.ndarray, b: np.ndarray) -> int:
@@ -137,8 +152,30 @@ def _may_link(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.Data
         yield x.loc[differ <= most, ["a", "b"]]
 
 
-def _pairs_of_run(x: pd.DataFrame, percent: int) -> Iterator[pd.DataFrame]:
-    """Pairs between classes within each group of sorted rows that signatures don't rule out."""
+def _joined(comp: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs (p, q) of rows join classes that aren't joined yet, and the classes after that."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while x in root:
+            x = root[x]
+        return x
+
+    joins = np.zeros(len(p), bool)
+    for i, (x, y) in enumerate(zip(comp[p].tolist(), comp[q].tolist(), strict=True)):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            joins[i] = True
+    names, place = np.unique(comp, return_inverse=True)
+    return joins, np.array([find(x) for x in names.tolist()], dtype=comp.dtype)[place]
+
+
+def _pairs_of_run(x: pd.DataFrame, percent: int, forest: bool) -> Iterator[pd.DataFrame]:
+    """Pairs between classes within each group of sorted rows that signatures don't rule out.
+
+    forest: only pairs that join classes which earlier ones haven't joined, as if all were links.
+    """
     for _, part in x.groupby(["size_class", "crowded"], sort=False):
         sig = np.frombuffer(b"".join(part["sig"]), np.uint8).reshape(len(part), -1)
         group, node, comp, n = (part[c].to_numpy() for c in ("group", "node", "comp", "n"))
@@ -155,11 +192,15 @@ def _pairs_of_run(x: pd.DataFrame, percent: int) -> Iterator[pd.DataFrame]:
                 p, q = left[i : i + step], right[i : i + step]
                 differ = np.count_nonzero(sig[p] != sig[q], axis=1)
                 ok = differ <= max_difference(n[p] + n[q], percent)
-                if ok.any():
-                    yield pd.DataFrame({"a": np.minimum(node[p[ok]], node[q[ok]]), "b": np.maximum(node[p[ok]], node[q[ok]])})
+                p, q = p[ok], q[ok]
+                if forest and len(p):
+                    joins, comp = _joined(comp, p, q)
+                    p, q = p[joins], q[joins]
+                if len(p):
+                    yield pd.DataFrame({"a": np.minimum(node[p], node[q]), "b": np.maximum(node[p], node[q])})
 
 
-def _between_classes(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+def _between_classes(batches: Iterator[pd.DataFrame], percent: int, forest: bool) -> Iterator[pd.DataFrame]:
     """Rows come sorted by group; a group that a batch cuts is finished with the next one."""
     rest = None
     for x in batches:
@@ -168,11 +209,11 @@ def _between_classes(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[
             x["group"] = (x[["key", "low", "high"]].ne(x[["key", "low", "high"]].shift())).any(axis=1).cumsum()
             last = x["group"].to_numpy() == x["group"].iloc[-1]
             rest = x[last].copy()
-            found = list(_pairs_of_run(x[~last], percent)) if not last.all() else []
+            found = list(_pairs_of_run(x[~last], percent, forest)) if not last.all() else []
             if found:
                 yield pd.concat(found).drop_duplicates()
     if rest is not None and len(rest):
-        yield from _pairs_of_run(rest, percent)
+        yield from _pairs_of_run(rest, percent, forest)
 
 
 def connected(edges: DataFrame, name: str) -> DataFrame:
@@ -205,6 +246,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return total.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
 
 
+def _rest(shared: DataFrame, roots: DataFrame, signed: DataFrame, percent: int, forest: bool, name: str) -> DataFrame:
+    """Pairs (a, b) between classes in keys that hold more than one, in blocks."""
+    now = shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+    now = written(now, f"{name}-now")
+    open_keys = now.groupBy("key").agg(F.count("*").alias("rows"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+    open_keys = open_keys.select("key", (F.col("rows") >= CROWD).alias("crowded"), F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    dealt = now.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    dealt = dealt.select("key", "node", "comp", "crowded", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), side.alias("side"))
+    dealt = dealt.withColumn("size_class", F.col("key").bitwiseAND(F.lit(63)).cast("int")).join(signed, ["node", "size_class"])
+    dealt = dealt.withColumn("sig", F.when(F.col("crowded"), F.col("fine")).otherwise(F.col("sig"))).drop("fine")
+    by_class = ["size_class", "key", "low", "high"]
+    found = dealt.repartition(*by_class).sortWithinPartitions(*by_class)
+    return written(found.mapInPandas(lambda it: _between_classes(it, percent, forest), "a long, b long").distinct(), f"{name}-rest")
+
+
 def link_classes(docs: DataFrame, k: int = 5, percent: int = 80, name: str = "jaccard") -> DataFrame:
     """(doc_id, n_shingles, component_id) for documents (doc_id, text): see the module's text.
 
@@ -240,22 +298,12 @@ def link_classes(docs: DataFrame, k: int = 5, percent: int = 80, name: str = "ja
     links = written(_verified(sparse, sets, percent), f"{name}-links")
     roots = connected(links, name)
 
-    # keys that hold more than one class yet
-    now = shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
-    now = written(now, f"{name}-now")
-    open_keys = now.groupBy("key").agg(F.count("*").alias("rows"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key", (F.col("rows") >= CROWD).alias("crowded"), F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    dealt = now.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "node", "comp", "crowded", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
-    dealt = dealt.withColumn("size_class", F.col("key").bitwiseAND(F.lit(63)).cast("int")).join(signed, ["node", "size_class"])
-    dealt = dealt.withColumn("sig", F.when(F.col("crowded"), F.col("fine")).otherwise(F.col("sig"))).drop("fine")
-    by_class = ["size_class", "key", "low", "high"]
-    rest = dealt.repartition(*by_class).sortWithinPartitions(*by_class)
-    rest = rest.mapInPandas(lambda it: _between_classes(it, percent), "a long, b long").distinct()
-    rest = written(rest, f"{name}-rest")
-    more = written(_verified(rest, sets, percent), f"{name}-more")
-    if not more.isEmpty():
-        roots = connected(links.union(more), name)
+    # first pairs that would join classes if they link, then all that are left between classes
+    for forest in (True, False):
+        more = written(_verified(_rest(shared, roots, signed, percent, forest, name), sets, percent), f"{name}-more")
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = connected(links, name)
 
     least = roots.groupBy("root").agg(F.min("node").alias("component"))
     member = roots.join(least, "root").select("node", "component")
