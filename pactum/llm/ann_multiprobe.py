@@ -8,16 +8,21 @@ its estimated success falls with the sum of squared distances from the query to
 slot boundaries. Candidates of all tables are merged and ranked by the exact inner product
 in double precision.
 
-Inner products become Euclidean neighbours by one more coordinate, sqrt(M^2 - |x|^2) with M
-the largest norm, 0 for queries, which are scaled to norm M. The slot width is a multiple of
-the spread of a projection, so it follows the data.
+Inner products become Euclidean neighbours by one more coordinate, sqrt(M^2 - |x|^2), 0 for
+queries, which are scaled to norm M. Rows are put in bands of nearly equal norm (a ratio of
+``BAND``), and M is the largest norm of a row's band: one long vector changes no other band.
+Divided by M, rows and queries are unit vectors, so one slot width and one set of probes
+serve all bands.
+
+The number of probes is measured on the table: the true neighbours of up to ``SAMPLE`` queries
+are found by comparison with all rows, and all queries probe as many buckets (``PROBES`` at
+least) as find ``RECALL`` of them. If all buckets next to a query's don't, every query is
+compared with all rows.
 
 Buckets are dealt to parts of about ``PART`` rows; a bucket above that is cut into blocks that
 each meet its queries, so no task holds an unbounded bucket. A query that finds fewer than k
 candidates is compared with all rows, block by block.
 
-On random unit vectors of 64 dimensions, the hard case, recall at 20 is about 0.95.
-
 Defined results: vectors that are null, zero, of another dimension than most, or that hold a
 null or non-finite component take no part, as queries or candidates; ties go to the smaller
 vec_id; rows without vec_id take no part; rows of one vec_id are one vector.
@@ -36,6 +41,8 @@ from pyspark.sql import functions as F
 from pactum.llm.common import written
 
 TABLES, HASHES, PROBES, WIDTH = 6, 8, 60, 2.4
+#: Share of the sampled queries' true neighbours that probing has to find, queries sampled, ratio of norms in a band.
+RECALL, SAMPLE, BAND = 0.95, 200, 1.05
 PART = 20_000
 _OUT = "query_id long, vec_id long, score double"
 
@@ -43,14 +50,14 @@ _OUT = "query_id long, vec_id long, score double"
 class Hashes:
     """The projections of all tables, and the probes of queries."""
 
-    def __init__(self, dims: int, norm: float, spread: float, tables: int, hashes: int, probes: int, width: float, seed: int = 17):
+    def __init__(self, dims: int, tables: int, hashes: int, probes: int, width: float, seed: int = 17):
         rng = np.random.default_rng(seed)
-        self.norm, self.tables, self.probes = norm, tables, probes
+        self.tables, self.probes = tables, probes
         hashes = min(hashes, dims + 1)
         self.moves = np.array(list(product((-1, 0, 1), repeat=hashes)), dtype=np.int64)
         draw = [np.linalg.qr(rng.standard_normal((dims + 1, hashes)))[0] for _ in range(tables)]
         self.axes = np.stack(draw)
-        self.width = width * spread / np.sqrt(dims) or 1.0
+        self.width = width / np.sqrt(dims)
         self.shift = rng.random((tables, hashes)) * self.width
 
     def _places(self, x: np.ndarray, table: int) -> np.ndarray:
@@ -64,18 +71,20 @@ class Hashes:
             out ^= out >> np.uint64(29)
         return out.view(np.int64)
 
-    def buckets(self, x: np.ndarray, table: int) -> np.ndarray:
-        rest = np.sqrt(np.maximum(0, self.norm**2 - (x * x).sum(axis=1)))
+    def buckets(self, x: np.ndarray, largest: np.ndarray, table: int) -> np.ndarray:
+        """Bucket of each row; largest: the largest norm of its band."""
+        x = x / np.where(largest > 0, largest, 1)[:, None]
+        rest = np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))
         return self._code(np.floor(self._places(np.column_stack([x, rest]), table)))
 
-    def probe(self, q: np.ndarray, table: int) -> np.ndarray:
+    def probe(self, q: np.ndarray, table: int, probes: int | None = None) -> np.ndarray:
         """(queries, probes): buckets in the order of their estimated success."""
-        q = q * (self.norm / np.linalg.norm(q, axis=1, keepdims=True))
+        q = q / np.linalg.norm(q, axis=1, keepdims=True)
         place = self._places(np.column_stack([q, np.zeros(len(q))]), table)
         slot = np.floor(place)
         inside = place - slot
         cost = np.stack([inside, np.zeros_like(inside), 1 - inside], axis=2) ** 2
-        out = np.empty((len(q), min(self.probes, len(self.moves))), np.int64)
+        out = np.empty((len(q), min(probes or self.probes, len(self.moves))), np.int64)
         for i in range(0, len(q), 256):
             total = sum(cost[i : i + 256, j][:, self.moves[:, j] + 1] for j in range(self.moves.shape[1]))
             best = np.argsort(total, axis=1, kind="stable")[:, : out.shape[1]]
@@ -83,6 +92,19 @@ class Hashes:
         return out
 
 
+    def probes_needed(self, q: np.ndarray, near: list[np.ndarray], largest: list[np.ndarray], recall: float) -> int | None:
+        """The least number of probes that finds ``recall`` of the neighbours ``near`` of the queries q; None if all probes don't."""
+        most = len(self.moves)
+        first = [np.full(len(x), most) for x in near]
+        for t in range(self.tables):
+            for i, (x, m) in enumerate(zip(near, largest, strict=True)):
+                met = self.probe(q[i : i + 1], t, most)[0] == self.buckets(x, m, t)[:, None]
+                first[i] = np.minimum(first[i], np.where(met.any(axis=1), met.argmax(axis=1), most))
+        found = np.sort(np.concatenate(first))
+        last = int(found[int(np.ceil(recall * len(found))) - 1])
+        return last + 1 if last < most else None
+
+
 def _matrix(v: pd.Series) -> np.ndarray:
     return np.stack(v.to_list()).astype(np.float64) if len(v) else np.empty((0, 0))
 
@@ -139,19 +161,55 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, width: float = WIDTH, part: int = PART) -> DataFrame:
+def _enough(rows: DataFrame, family: Hashes, k: int, recall: float, sample: int) -> int | None:
+    """Probes that reach ``recall`` on sampled queries of rows (vec_id, v, asks, largest); None: no number does."""
+    asked = rows.where("asks").select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    if not asked:
+        return family.probes
+    own, q = np.array([r["vec_id"] for r in asked]), np.array([r["v"] for r in asked])
+    shared = rows.sparkSession.sparkContext.broadcast((own, q))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The k best of a task's rows for each sampled query."""
+        own, q = shared.value
+        asking = pd.DataFrame({"vec_id": own, "v": list(q), "probes": [np.empty(0, np.int64)] * len(own)})
+        best = None
+        for b in batches:
+            got = _nearest(b.assign(bucket=0), asking, k)
+            best = got if best is None else pd.concat([best, got]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+        if best is not None:
+            yield best
+
+    true = _top(rows.select("vec_id", "v").mapInPandas(scan, _OUT), k).collect()  # k of each sampled query
+    if not true:
+        return family.probes
+    met = rows.where(F.col("vec_id").isin(list({r["vec_id"] for r in true}))).select("vec_id", "v", "largest").collect()
+    vector, largest = {r["vec_id"]: r["v"] for r in met}, {r["vec_id"]: r["largest"] for r in met}
+    near: dict[int, list[int]] = {}
+    for r in true:
+        near.setdefault(r["query_id"], []).append(r["vec_id"])
+    at = {x: i for i, x in enumerate(own.tolist())}
+    return family.probes_needed(q[[at[x] for x in near]], [np.array([vector[i] for i in x]) for x in near.values()], [np.array([largest[i] for i in x]) for x in near.values()], recall)
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, width: float = WIDTH, part: int = PART, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score) for vectors (vec_id, embedding); is_query is a condition on them."""
     v = F.transform(F.col("embedding"), lambda e: e.cast("double"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where("vec_id is not null and v is not null")
     finite = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     rows = rows.where(finite & F.exists("v", lambda e: e != 0.0)).dropDuplicates(["vec_id"])
     rows = written(rows.withColumn("dims", F.size("v")).withColumn("square", F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e)), "ann-vectors")
-    common = rows.groupBy("dims").agg(F.count("*").alias("n"), F.max("square").alias("m"), F.avg("square").alias("s")).orderBy(F.desc("n"), "dims").first()
+    common = rows.groupBy("dims").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").first()
     if common is None:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.col("dims") == common["dims"]).select("vec_id", "v", "asks")
+    rows = rows.where(F.col("dims") == common["dims"]).withColumn("band", F.round(F.log(F.greatest("square", F.lit(1e-300))) / (2 * np.log(BAND))))
+    # doubles span some 14,000 bands at most
+    bands = rows.groupBy("band").agg(F.sqrt(F.max("square")).alias("largest"))
+    rows = written(rows.join(F.broadcast(bands), "band").select("vec_id", "v", "asks", "largest"), "ann-bands")
     n = common["n"]
-    family = Hashes(common["dims"], float(np.sqrt(common["m"])), float(np.sqrt(common["s"])), tables, hashes, probes, width)
+    family = Hashes(common["dims"], tables, hashes, probes, width)
+    enough = _enough(rows, family, k, recall, sample)
+    family.probes = max(probes, enough or 0)
     shared = rows.sparkSession.sparkContext.broadcast(family)
     parts = max(1, -(-n // part))
 
@@ -160,7 +218,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABL
             if len(b):
                 x = _matrix(b["v"])
                 for t in range(tables):
-                    code = shared.value.buckets(x, t)
+                    code = shared.value.buckets(x, b["largest"].to_numpy(), t)
                     yield pd.DataFrame({"tab": np.int32(t), "part": (code % parts).astype(np.int32), "bucket": code, "vec_id": b["vec_id"], "v": b["v"]})
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,8 +231,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABL
                     out = [(t, int(p), i, x, codes[at == p]) for i, x, codes, at in zip(b["vec_id"], b["v"], code, where, strict=True) for p in np.unique(at)]
                     yield pd.DataFrame(out, columns=["tab", "part", "vec_id", "v", "probes"])
 
-    base = rows.select("vec_id", "v").mapInPandas(index, "tab int, part int, bucket long, vec_id long, v array<double>")
-    asked = rows.where("asks").select("vec_id", "v").mapInPandas(probe, "tab int, part int, vec_id long, v array<double>, probes array<long>")
+    base = rows.select("vec_id", "v", "largest").mapInPandas(index, "tab int, part int, bucket long, vec_id long, v array<double>")
+    # where no number of probes is enough, none of the queries probes and all rows are met below
+    asked = rows.where(F.col("asks") & F.lit(enough is not None)).select("vec_id", "v").mapInPandas(probe, "tab int, part int, vec_id long, v array<double>, probes array<long>")
     # buckets above a part's size are cut into blocks; there are at most tables * n / part of them
     large = written(base.groupBy("tab", "part", "bucket").count().where(F.col("count") > part).select("tab", "part", "bucket", F.ceil(F.col("count") / part).cast("int").alias("blocks")), "ann-large")
     if large.isEmpty():

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pactum.llm import ann_multiprobe, jaccard_join, mixing, queries, secrets, shingles, token_store
+from pactum.llm import ann_multiprobe, common, jaccard_join, mixing, queries, secrets, shingles, token_store
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, rank int"
 
@@ -131,6 +131,38 @@ def test_neighbours(spark):
     assert sorted(r.vec_id for r in few) == [1, 2, 3, 4]
 
 
+def recall_of(spark, monkeypatch, x, every, **how):
+    """Recall at 20 against brute force, of queries none of which falls back to all rows."""
+    tables = {}
+    monkeypatch.setattr(ann_multiprobe, "written", lambda df, name: tables.setdefault(name, common.written(df, name)))
+    table = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann_multiprobe.search(table, F.col("vec_id") % every == 0, **how).collect()
+    assert tables["ann-short"].isEmpty()
+    mine = {}
+    for r in got:
+        mine.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = []
+    for q in range(0, len(x), every):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits.append(len(mine[q] & set(np.argsort(-score, kind="stable")[:20].tolist())) / 20)
+    return np.mean(hits)
+
+
+@pytest.mark.parametrize("norms", ["spread", "gauss", "outlier"])
+def test_neighbours_of_unequal_norms(spark, monkeypatch, norms):
+    """Most queries are outside the sample that probes are measured on, and hashing leaves rows out."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((4000, 64))
+    if norms != "gauss":
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "spread":
+        x *= rng.lognormal(0, 0.1, (4000, 1))
+    if norms == "outlier":
+        x[7] *= 1.5
+    assert recall_of(spark, monkeypatch, x, 20, sample=60) >= 0.9
+
+
 def test_op6_digest(spark, sf_dir):
     rows = {r.doc_id: r for r in queries.QUERIES["op6_secrets"](spark, sf_dir).collect()}
     for doc_id, text in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect():
