@@ -163,6 +163,14 @@ def test_neighbours_of_unequal_norms(spark, monkeypatch, norms):
     assert recall_of(spark, monkeypatch, x, 20, sample=60) >= 0.9
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_neighbours_of_the_tables(spark, monkeypatch, sf):
+    x = np.array([r.embedding for r in spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").orderBy("vec_id").collect()])
+    recall = recall_of(spark, monkeypatch, x, 20, sample=50)
+    print(f"recall of {sf}: {recall:.4f}")
+    assert recall >= 0.93
+
+
 def test_op6_digest(spark, sf_dir):
     rows = {r.doc_id: r for r in queries.QUERIES["op6_secrets"](spark, sf_dir).collect()}
     for doc_id, text in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect():
