@@ -30,6 +30,8 @@ from pactum.llm import sampling
 
 PER_LANGUAGE, LANGUAGES = 400, 100
 SEGMENT, HIDDEN = 128, 8
+#: Characters of a text that the least score is measured on.
+CALIBRATE = 4_000
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _SPREAD = np.zeros(256, np.float32)
@@ -202,6 +204,41 @@ def train(docs: DataFrame, rows: DataFrame, per_language: int = PER_LANGUAGE) ->
     return fit(got["text"].tolist(), got["label"].tolist())
 
 
+def gibberish(texts: list[str], seed: int = 19) -> list[str]:
+    """For each text, one with random letters in place of its letters: by turns any that the texts hold, and a to z."""
+    rng = np.random.default_rng(seed)
+    latin = np.array([chr(c) for c in range(97, 123)])
+    held = np.array(sorted({c for t in texts for c in _LETTER.findall(t)}) or latin)
+    out = []
+    for i, t in enumerate(texts):
+        drawn = iter(rng.choice((held, latin)[i % 2], len(t)).tolist())
+        out.append(_LETTER.sub(lambda _: next(drawn), t))  # noqa: B023
+    return out
+
+
+def least_score(net: Network, texts: list[str], junk: float = 0.98, lost: float = 0.005) -> float:
+    """The score below which a text is no language, from texts in learned languages that the fit has not seen.
+
+    It is the one below which the share ``junk`` of gibberish falls, but at most the one below
+    which the share ``lost`` of the texts falls. 0 (nothing goes by score) with fewer than two
+    languages, whose only probability is 1, or without texts.
+    """
+    texts = [t for t in texts if t and _LETTER.search(t)]
+    if len(net.languages) < 2 or not texts:
+        return 0.0
+    clean, noise = (np.sort(net.score(x).max(axis=1)) for x in (texts, gibberish(texts)))
+    return float(min(np.quantile(noise, junk, method="higher"), np.quantile(clean, lost, method="lower")))
+
+
+def train_with_least(docs: DataFrame, rows: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[Network, float]:
+    """The network of ``train``, and its least score from a fourth as many further texts of each language."""
+    most = per_language + per_language // 4
+    got = sampling.collect(sampling.per_class(rows, "doc_id", "lang", most, LANGUAGES), docs, most)
+    held = got.groupby("label").cumcount() % 5 == 4
+    net = fit(got["text"][~held].tolist(), got["label"][~held].tolist())
+    return net, least_score(net, got["text"][held].str[:CALIBRATE].tolist())
+
+
 def predict(docs: DataFrame, net: Network) -> DataFrame:
     """(doc_id, lang_pred, score) for documents (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
@@ -220,7 +257,7 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, net: Network, least: float = 0.25) -> DataFrame:
+def keep_known(docs: DataFrame, net: Network, least: float) -> DataFrame:
     """The documents whose language is known with a score of at least ``least``; all columns as before."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 

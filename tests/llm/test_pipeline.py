@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import public_tokenizers
 from pactum.llm import bpe
@@ -46,3 +48,17 @@ def test_stages(spark, folder):
     for r in seen["tokens"]:
         assert list(r.ids) == encoder.encode([plain[r.doc_id].text])[0].tolist()
         assert (r.n_tokens, r.n_bytes) == (len(r.ids), len(plain[r.doc_id].text.encode()))
+
+
+def test_gibberish_goes(spark):
+    """Random letters go, and few documents of learned languages do."""
+    rng = np.random.default_rng(4)
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    words = lambda: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(80))
+    rows = [(10_000_000 + i, t := words(), None, "junk", len(t)) for i in range(100)]
+    junk = spark.createDataFrame(rows, SCHEMA).select(*[F.col(c).cast(table.schema[c].dataType).alias(c) for c in table.columns])
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, table.unionByName(junk), "").select("doc_id").collect()}
+    ids = {r.doc_id for r in table.select("doc_id").collect()}
+    print(f"gibberish kept {len(kept - ids)} of 100, documents kept {len(kept & ids)} of {len(ids)}")
+    assert len(kept - ids) <= 5
+    assert len(kept & ids) >= 0.98 * len(ids)
