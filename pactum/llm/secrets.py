@@ -3,10 +3,11 @@
 ``scan`` finds candidate spans in whole texts: three base kinds by fixed patterns, and one
 further kind, long mixed-alphabet tokens outside base spans. ``ownership`` aggregates the
 hashes of candidate values by distinct repositories and owners over the whole corpus.
-``judge`` puts both together: a value held by at most ``max_owners`` owners is
-owner-specific (live-looking); one that more owners hold is a widely copied example. Base
-spans always stay, with their verdict; tokens of the further kind become spans only if they
-are owner-specific.
+``judge`` puts both together: a value is a widely copied example if ``MANY`` repositories hold
+it, or ``SPREAD`` repositories of more than ``max_owners`` owners; any other is owner-specific
+(live-looking). In a corpus of less than ten times ``SPREAD`` documents, a tenth of them (two
+at least) takes the place of ``SPREAD``. Base spans always stay, with their verdict; tokens of
+the further kind become spans only if they are owner-specific.
 
 Offsets are code points, ends exclusive. Defined results: null and empty texts have no spans;
 a null repository or owner counts as one unnamed holder; repeated rows are repeated;
@@ -22,7 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactum.llm.common import written
@@ -33,6 +34,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 #: Kinds in the order in which spans with equal starts are listed.
 KINDS = ("assign", "access", "hex", "token")
+#: Repositories that hold a widely copied value: within one owner, and over several.
+MANY, SPREAD = 10, 5
 _ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 _SPANS = "array<struct<kind:string,start:int,end:int,value_hash:long,base:boolean>>"
 
@@ -88,6 +91,12 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return by_owner.groupBy("value_hash").agg(F.sum("repositories").alias("repositories"), F.count("*").alias("owners"))
 
 
+def is_shared(documents: int, max_owners: int = 1) -> Column:
+    """Whether a row of ``ownership`` is a widely copied value, in a corpus of so many documents."""
+    spread = min(SPREAD, max(2, documents // 10))
+    return (F.col("repositories") >= MANY) | ((F.col("owners") > max_owners) & (F.col("repositories") >= spread))
+
+
 def judge(docs: DataFrame, max_owners: int = 1, min_entropy: float = 3.5, holders: tuple[str, str] = ("doc_id", "source")) -> DataFrame:
     """(row_id, doc_id, spans) for documents; spans is sorted, each with repositories, owners and verdict.
 
@@ -97,7 +106,7 @@ def judge(docs: DataFrame, max_owners: int = 1, min_entropy: float = 3.5, holder
     scanned = written(scanned, "secrets-rows")
     stats = ownership(scanned)
     spans = scanned.select("row_id", F.explode("candidates").alias("c")).select("row_id", "c.*").join(stats, "value_hash")
-    verdict = F.when(F.col("owners") <= max_owners, "owner-specific").otherwise("shared-example")
+    verdict = F.when(is_shared(scanned.count(), max_owners), "shared-example").otherwise("owner-specific")
     spans = spans.withColumn("verdict", verdict).where("base or verdict = 'owner-specific'")
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     span = F.struct("start", order.alias("ord"), "kind", "end", "base", "repositories", "owners", "verdict", "value_hash")
@@ -116,7 +125,7 @@ def redact(docs: DataFrame, max_owners: int = 1, mark: str = "<SECRET>", min_ent
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)))
     named = docs.select(key.alias("doc_id"), "text", *[F.col(h).alias(f"held{i}") for i, h in enumerate(holders)])
     scanned = written(scan(named, min_entropy, ("held0", "held1")), "redact-scan")
-    live = ownership(scanned).where(F.col("owners") <= max_owners).select("value_hash")
+    live = ownership(scanned).where(~is_shared(scanned.count(), max_owners)).select("value_hash")
     found = scanned.select("doc_id", F.explode("candidates.value_hash").alias("value_hash")).join(live, "value_hash")
     per_doc = written(found.groupBy("doc_id").agg(F.collect_set("value_hash").alias("live_values")).select(F.col("doc_id").alias("found_in"), "live_values"), "redact-live")
 

@@ -100,6 +100,19 @@ def test_secrets(spark):
     assert secrets.redact(documents(spark, lone)).count() == len(lone)
 
 
+def test_secrets_of_many_and_of_two(spark):
+    """A sample in many documents of one source is shared; a live value in two sources is not."""
+    sample, live = "password = examplepassword1", "secret: q8w7e6r5t4y3u2i1"
+    rows = [(i, f"{sample} in {i}", "a") for i in range(30)] + [(i, f"plain text {i}", "abc"[i % 3]) for i in range(100, 170)]
+    rows += [(200, live, "a"), (201, live, "b")]
+    got = {r.doc_id: [s.verdict for s in r.spans or []] for r in secrets.judge(documents(spark, rows)).collect()}
+    assert {got[i][0] for i in range(30)} == {"shared-example"}
+    assert got[200] == got[201] == ["owner-specific"]
+    plain = {r.doc_id: r.text for r in secrets.redact(documents(spark, rows)).collect()}
+    assert all(plain[i].startswith(sample) for i in range(30))
+    assert plain[200] == plain[201] == "<SECRET>"
+
+
 def test_token_store(spark):
     shards = token_store.write_shards(documents(spark, ODD), queries.public_tokenizers.path("word_bpe_49k.json"), shard_ids=200)
     got = sorted(token_store.read_documents(shards).collect(), key=lambda r: r.start)
