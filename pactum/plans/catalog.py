@@ -197,10 +197,10 @@ def clause_canonical_equi(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALIAS_VALUES = ", ".join(f"({i}, '{k}', '{t}')" for i, k, t in V.aliases())
 
 
-def _part_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles with vocabulary inside: every alias with the type of a part around it."""
+def _part_titles(spark: SparkSession, sf_dir: str, aliases: str = "true") -> DataFrame:
+    """Titles with vocabulary inside: every alias that meets a condition with the type of a part around it."""
     parts = _read(spark, sf_dir, "part").select(F.lower("p_type").alias("p_type")).distinct()
-    alias = F.broadcast(C.vocabulary(spark)).where("ord % 3 = 0")
+    alias = F.broadcast(C.vocabulary(spark)).where(aliases)
     return parts.join(alias, F.lit(True)).select(F.concat_ws(" ", "p_type", "alias_key").alias("title"))
 
 
@@ -211,6 +211,12 @@ def _part_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     " SELECT title, canonical FROM hit"
 )
 def clause_canonical_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.canonical_titles(_part_titles(spark, sf_dir, "ord % 3 = 0")).where("mapped").select("title", "canonical")
+
+
+@query()
+def clause_canonical_theta_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The containment join over titles of all aliases; the SQL of clause_canonical_theta holds a third of them."""
     return C.canonical_titles(_part_titles(spark, sf_dir)).where("mapped").select("title", "canonical")
 
 

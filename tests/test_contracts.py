@@ -17,6 +17,7 @@ from pactum.functions import fields as X
 from pactum.functions import sql as named
 from pactum.operators import clauses as C
 from pactum.operators import enrich, records, sinks
+from pactum.functions import vocab as V
 from pactum.plans import catalog
 from pactum.sources import docx, files, html, pdf
 from pactum.streaming import inbox
@@ -183,3 +184,16 @@ def test_query_equals_its_sql(spark, sf_dir, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_containment_of_all_aliases(spark, tmp_path):
+    spark.createDataFrame([("STANDARD TIN",), ("Promo Steel",), ("STANDARD TIN",)], "p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    want = set()
+    for title in {f"{t} {k}" for t in ("standard tin", "promo steel") for _, k, _ in V.aliases()}:
+        key = title.lower().rstrip(" .:;,")
+        exact = [t for _, k, t in V.aliases() if k == key]
+        near = [(len(k), -i, t) for i, k, t in V.aliases() if len(k) >= V.MIN_CONTAINED and (k in key or key in k)]
+        want |= {(title, t) for t in exact or ([max(near)[2]] if near else [])}
+    got = [(r.title, r.canonical) for r in catalog.QUERIES["clause_canonical_theta_all"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert len(got) > 2 * len(V.aliases()) // 3
