@@ -229,7 +229,7 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 6, batch: int = 512,
     rng = np.random.default_rng(seed)
     hot = np.flatnonzero((y[at] * mask).any(axis=0))
     cold = np.setdiff1d(np.arange(mask.shape[1]), hot)
-    keep = np.concatenate([hot[:segments], rng.permutation(cold)[:segments]])
+    keep = np.concatenate([rng.permutation(hot)[:segments], rng.permutation(cold)[:segments]])
     inner = np.ones(len(index), bool)
     inner[np.cumsum(counts) - counts] = False
     square, moved, biased = np.full(1 << BITS, 1e-6, np.float32), np.full((2, 2), 1e-6), 1e-6

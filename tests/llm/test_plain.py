@@ -191,3 +191,12 @@ def test_hashes_put_a_vector_among_its_own_probes():
     h = ann_multiprobe.Hashes(16, 1.0, 1.0, 2, 4, 10, 2.4)
     for t in range(2):
         assert (h.probe(x, t)[:, 0] == h.buckets(x, t)).mean() > 0.99
+
+
+def test_toxic_segments_are_drawn_from_all_documents():
+    """Toxic words of late documents are learned where not all segments are."""
+    toxic = [f"a{i} vile b{i}" for i in range(60)] + [f"a{i} foul b{i}" for i in range(60)]
+    texts = toxic + [f"c{i} d{i} e{i}" for i in range(200)]
+    field = toxicity_crf.fit(texts, np.array([1] * 120 + [0] * 200), segments=50)
+    odds, _ = toxicity_crf.Tagger(field).marginals(["x vile y", "x foul y"])
+    assert odds[1] > 0 and odds[4] > 0
