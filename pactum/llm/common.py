@@ -6,14 +6,16 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
-#: While a table is written: shuffle files go as soon as the query has ended, and Python gets
-#: rows in small batches.
-_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+#: While a table is written: shuffle files go as soon as the query has ended.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Where written tables stand, for as long as something holds them.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,16 +44,29 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, batch: int = 1000) -> DataFrame:
     """The rows of df, written once as Parquet in the shared folder and read back: lineage ends there.
 
-    A lost executor costs the tasks that were running, not what has been written.
+    A lost executor costs the tasks that were running, not what has been written. ``batch`` rows
+    at most go to Python at a time.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with settings(spark, _WRITING):
+    with settings(spark, {**_WRITING, "spark.sql.execution.arrow.maxRecordsPerBatch": str(batch)}):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Remove written tables that nothing reads any more: their successors are written. Other tables stay."""
+    for table in tables:
+        path = _PATHS.pop(table, None) if table is not None else None
+        if path is not None:
+            jvm = table.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def text_or_empty(column: str = "text") -> Column:

@@ -3,55 +3,62 @@
 The n-grams of a document are 64-bit hashes; their numeric order is the global n-gram order.
 It is cut into fragments (ranges of that order), and fragments are worked on separately:
 
-1. *Identical sets* collapse into one representative (smallest doc_id), pre-aggregated
-   before the shuffle, so thousands of copies cost one row each and no pair.
+1. *Identical sets* are one node, named by a digest of the set. Copies that stand in one task
+   send their keys once, all others meet in the shuffle; thousands of copies make no pair.
 2. *Candidates.* Two sets with J >= t differ in at most D = (1-t)/(1+t) * (|a|+|b|) n-grams.
    With D+1 fragments at least one fragment is the same in both, so equal (fragment, content)
    keys find every pair that can link (empty fragments are keys only where no other need be
    equal). Sizes fall in geometric classes, each with its own
    D; a set also takes part in the next class where a partner can be that much larger.
-3. *Sparse links.* Within a key, each set is first paired with the smallest set and with its
-   neighbour by size: as many pairs as rows, not their square.
+   Rows (key, node) are sorted and read as a stream: keys of one node go at once.
+3. *Sketches.* One bit for each of 16 D buckets: whether the set has an odd number of n-grams
+   there. Two sets can't differ in more buckets than in n-grams, so more than the pair's own D
+   unequal bits prove that it can't link.
 4. *Verification* counts the overlap of each fragment separately and sums the counts per
-   pair. A signature (one byte for each of 2D finer fragments) goes ahead: more unequal
-   bytes than the pair's own D prove that it can't link, exactly.
-5. *Rest.* Keys that still hold more than one class have all pairs between classes compared
-   by signature, in blocks of bounded size (by finer ones where many rows meet); those that
-   pass are verified as in 4. Nothing is capped: the result is the same as comparing all pairs.
+   pair. First each class verifies one pair to another class, so a group of near copies costs
+   about as many verified pairs as members; pairs that are left between classes follow.
+5. Keys of up to ``FEW`` nodes have all their pairs looked at; larger ones first pair each node
+   with their first. *Rest:* larger keys that still hold more than one class have all pairs
+   between classes compared by sketch, in blocks of bounded size; those that pass are verified
+   as in 4. Nothing is capped: the result is the same as comparing all pairs.
 6. *Classes* by min-label contraction of the links: joins and partial aggregates only,
    nothing on the driver.
 
 Defined results: null, empty or blank texts have an empty set and are linked with nothing;
 rows without doc_id are linked with nothing and have a null component; repeated rows are
-repeated in the result; a doc_id is taken to name one text (where rows that share it differ,
-one of their texts stands for it); other columns of the input play no part.
+repeated in the result; rows that share a doc_id but differ in text are sets of their own, and
+each is linked by its own text; other columns of the input play no part; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from pactum.llm.common import written
+from pactum.llm.common import dropped, written
 from pactum.llm.shingles import mix64, shingles
 
 #: Size classes grow by this factor.
 CLASS_GROWTH = 1.6
 #: Fragments in which overlaps are counted.
 COUNT_FRAGMENTS = 4
-#: Keys of so many rows or more are compared by signatures of FINE times D fragments, which let
-#: hardly any pair pass that doesn't link.
-CROWD, FINE = 32, 8
-#: Elements of sets that leave Python in one batch, about.
+#: Bits of a sketch for each n-gram in which sets of its class can differ.
+SKETCH = 16
+#: Nodes of a key that are all paired with one another.
+FEW = 9
+#: Nodes of a key that are compared in one block.
+BLOCK = 1024
+#: Elements or keys that leave Python in one batch, about.
 ELEMENTS = 200_000
-_SET_COLUMNS = ["node", "n", "frag", "elements", "classes", "signatures", "fine"]
-#: Rows of a key that are compared in one block.
-BLOCK = 256
+#: Digests of sets whose keys a task has sent, at most, before it forgets them.
+REMEMBER = 200_000
 
 
 def _bounds() -> np.ndarray:
@@ -76,6 +83,11 @@ def classes_of(n: int, percent: int) -> list[int]:
     return [own, own + 1] if 100 * n >= percent * int(_BOUNDS[own + 1]) else [own]
 
 
+def digest(elements: np.ndarray) -> int:
+    """64 bits that name a set."""
+    return int(np.uint64(xxh3_64_intdigest(elements.tobytes())).astype(np.int64))
+
+
 def _segments(elements: np.ndarray, fragments: int) -> tuple[np.ndarray, np.ndarray]:
     """Sum of mixed elements in each fragment (0 if empty) and which are not empty."""
     frag = ((elements >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
@@ -102,54 +114,161 @@ def keys_in(elements: np.ndarray, size_class: int, percent: int) -> np.ndarray:
     return keys if max_difference(len(elements) + partner, percent) >= full.sum() else keys[full]
 
 
-def signature(elements: np.ndarray, size_class: int, percent: int, fine: int = 2) -> bytes:
-    """A byte for each of ``fine`` times as many fragments as sets of the class can differ in elements."""
+def sketch(elements: np.ndarray, size_class: int, percent: int) -> bytes:
+    """The parities of ``SKETCH`` times as many buckets as sets of the class can differ in elements."""
     most = int(max_difference(2 * (int(_BOUNDS[size_class + 1]) - 1), percent))
-    sums, _ = _segments(elements, fine * most + 1)
-    return (mix64(sums) >> np.uint64(56)).astype(np.uint8).tobytes()
+    bits = 64 * -(-SKETCH * most // 64)
+    if not bits:
+        return b""
+    bucket = (mix64(elements ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)) * np.uint64(bits) >> np.uint64(32)
+    return np.packbits((np.bincount(bucket.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def _keyed(batches: Iterator[pd.DataFrame], k: int, percent: int) -> Iterator[pd.DataFrame]:
+def _described(batches: Iterator[pd.DataFrame], k: int, percent: int) -> Iterator[pd.DataFrame]:
+    """(doc_id, n, node, classes, sketches) of each row; no node for an empty set."""
     for batch in batches:
-        ids, sizes, sigs, keys = [], [], [], []
+        rows = []
         for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
             s = shingles(text, k)
-            ids.append(doc_id)
-            sizes.append(len(s))
-            sigs.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            found = [keys_in(s, c, percent) for c in classes_of(len(s), percent)] if len(s) else []
-            keys.append(np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64))
-        yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "n_shingles": np.array(sizes, np.int64), "sig": sigs, "keys": keys})
+            classes = classes_of(len(s), percent) if len(s) else []
+            rows.append((doc_id, len(s), digest(s) if len(s) else None, classes, [sketch(s, c, percent) for c in classes]))
+        out = pd.DataFrame(rows, columns=["doc_id", "n", "node", "classes", "sketches"])
+        yield out.astype({"doc_id": "Int64", "node": "Int64"})
+
+
+def _keyed(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node) of the sets of a task, each set once while it is remembered."""
+    seen: set[int] = set()
+    keys, nodes, counts, held = [], [], [], 0
+
+    def batch() -> pa.RecordBatch:
+        node = np.repeat(np.array(nodes, np.int64), np.array(counts, np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(node)], names=["key", "node"])
+
+    for b in batches:
+        for text in b.column("text"):
+            s = shingles(text.as_py(), k)
+            if not len(s) or (node := digest(s)) in seen:
+                continue
+            if len(seen) >= REMEMBER:
+                seen.clear()
+            seen.add(node)
+            found = np.concatenate([keys_in(s, c, percent) for c in classes_of(len(s), percent)])
+            if len(found):
+                keys.append(found)
+                nodes.append(node)
+                counts.append(len(found))
+                held += len(found)
+                if held >= ELEMENTS:
+                    yield batch()
+                    keys, nodes, counts, held = [], [], [], 0
+    if held:
+        yield batch()
+
+
+def _numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for n in names]
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, node) sorted by both, without repeats, those whose key has several nodes.
+
+    The last row waits for the next batch; nothing else is kept.
+    """
+    key, node, waits = np.empty(0, np.int64), np.empty(0, np.int64), False
+
+    def rows(k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["key", "node"])
+
+    for b in batches:
+        k, n = _numbers(b, "key", "node")
+        if not len(k):
+            continue
+        k, n = np.concatenate([key, k]), np.concatenate([node, n])
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (n[1:] != n[:-1])
+        k, n = k[new], n[new]
+        same = k[1:] == k[:-1]
+        met = np.zeros(len(k), bool)
+        met[1:] |= same
+        met[:-1] |= same
+        met[0] |= waits
+        yield rows(k[:-1][met[:-1]], n[:-1][met[:-1]])
+        key, node, waits = k[-1:], n[-1:], bool(met[-1])
+    if waits:
+        yield rows(key, node)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, size_class) of rows (key, node) sorted by both.
+
+    All pairs in keys of up to FEW nodes; in a larger one, its first node with each of the others.
+    The rows of a key that a batch cuts wait for the next one: up to FEW, or the first alone.
+    """
+    key, node = np.empty(0, np.int64), np.empty(0, np.int64)
+    crowded = False  # whether the key that waits is known to be a larger one; its first node waits alone
+
+    def pairs(k: np.ndarray, n: np.ndarray, first_is_crowded: bool) -> pd.DataFrame:
+        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        size = np.diff(np.concatenate([start, [len(k)]]))
+        hub, many = np.repeat(start, size), np.repeat(size > FEW, size)
+        if first_is_crowded:
+            many[: size[0]] = True
+        left, right = [hub[many]], [np.flatnonzero(many)]
+        for d in range(1, FEW):
+            i = np.flatnonzero((k[d:] == k[:-d]) & ~many[d:])
+            left.append(i)
+            right.append(i + d)
+        p, q = np.concatenate(left), np.concatenate(right)
+        p, q = p[p != q], q[p != q]
+        return pd.DataFrame({"a": np.minimum(n[p], n[q]), "b": np.maximum(n[p], n[q]), "size_class": k[p] & 63}).drop_duplicates()
+
+    def out(x: pd.DataFrame) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x["a"].to_numpy()), pa.array(x["b"].to_numpy()), pa.array(x["size_class"].to_numpy().astype(np.int32))], names=["a", "b", "size_class"])
+
+    for b in batches:
+        k, n = _numbers(b, "key", "node")
+        if not len(k):
+            continue
+        k, n = np.concatenate([key, k]), np.concatenate([node, n])
+        last = int(np.searchsorted(k, k[-1]))
+        tail_crowded = (crowded and last == 0) or len(k) - last > FEW
+        if tail_crowded:
+            yield out(pairs(k, n, (crowded and len(key) > 0) or last == 0))
+            key, node, crowded = k[last : last + 1], n[last : last + 1], True
+        else:
+            if last:
+                yield out(pairs(k[:last], n[:last], crowded))
+            key, node, crowded = k[last:], n[last:], False
+    if len(key) > 1:
+        yield out(pairs(key, node, crowded))
 
 
-def _sets(batches: Iterator[pd.DataFrame], k: int, percent: int) -> Iterator[pd.DataFrame]:
-    """Rows (node, frag, elements); those of frag 0 also carry the signatures by class."""
+def _sets(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """Rows (node, n, frag, elements)."""
+    columns = ["node", "n", "frag", "elements"]
     for batch in batches:
         rows, size = [], 0
-        for node, text in zip(batch["node"], batch["text"], strict=True):
+        for text in batch["text"]:
             s = shingles(text, k)
+            node = digest(s)
             cut = np.searchsorted((s >> np.uint64(32)) * np.uint64(COUNT_FRAGMENTS) >> np.uint64(32), np.arange(COUNT_FRAGMENTS + 1, dtype=np.uint64))
-            for f in range(COUNT_FRAGMENTS):
-                classes = classes_of(len(s), percent) if f == 0 else []
-                rows.append((node, len(s), f, s[cut[f] : cut[f + 1]].view(np.int64), classes, [signature(s, c, percent) for c in classes], [signature(s, c, percent, FINE) for c in classes]))
+            rows += [(node, len(s), f, s[cut[f] : cut[f + 1]].view(np.int64)) for f in range(COUNT_FRAGMENTS)]
             size += len(s)
             if size >= ELEMENTS:
-                yield pd.DataFrame(rows, columns=_SET_COLUMNS)
+                yield pd.DataFrame(rows, columns=columns)
                 rows, size = [], 0
         if rows:
-            yield pd.DataFrame(rows, columns=_SET_COLUMNS)
-
-
-def _differ(a: np.ndarray, b: np.ndarray) -> int:
-    return int(np.count_nonzero(np.frombuffer(a, np.uint8) != np.frombuffer(b, np.uint8)))
+            yield pd.DataFrame(rows, columns=columns)
 
 
 def _may_link(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
-    """Pairs whose signatures don't rule them out."""
+    """Pairs whose sizes and sketches don't rule them out."""
     for x in batches:
-        most = max_difference((x["na"] + x["nb"]).to_numpy(), percent)
-        differ = np.fromiter(map(_differ, x["sa"], x["sb"]), np.int64, len(x))
-        yield x.loc[differ <= most, ["a", "b"]]
+        na, nb = x["na"].to_numpy(), x["nb"].to_numpy()
+        most = max_difference(na + nb, percent)
+        unlike = np.fromiter(((int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count() for a, b in zip(x["sa"], x["sb"], strict=True)), np.int64, len(x))
+        yield x.loc[(unlike <= most) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)), ["a", "b"]]
 
 
 def _joined(comp: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,26 +291,26 @@ def _joined(comp: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray,
 
 
 def _pairs_of_run(x: pd.DataFrame, percent: int, forest: bool) -> Iterator[pd.DataFrame]:
-    """Pairs between classes within each group of sorted rows that signatures don't rule out.
+    """Pairs between classes within each group of sorted rows that sketches don't rule out.
 
     forest: only pairs that join classes which earlier ones haven't joined, as if all were links.
     """
-    for _, part in x.groupby(["size_class", "crowded"], sort=False):
-        sig = np.frombuffer(b"".join(part["sig"]), np.uint8).reshape(len(part), -1)
+    for _, part in x.groupby("size_class", sort=False):
+        bits = np.frombuffer(b"".join(part["sketch"]), np.uint64).reshape(len(part), -1)
         group, node, comp, n = (part[c].to_numpy() for c in ("group", "node", "comp", "n"))
         side = part["side"].to_numpy()
         largest = int(pd.Series(group).value_counts().max())
-        step = max(1, 8_000_000 // sig.shape[1])
+        step = max(1, 1_000_000 // max(1, bits.shape[1]))
         for d in range(1, largest):
-            left = np.flatnonzero(group[:-d] == group[d:])
+            left = np.flatnonzero((group[:-d] == group[d:]) & (comp[:-d] != comp[d:]))
             right = left + d
             small, large = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
-            keep = (comp[left] != comp[right]) & (100 * small >= percent * large) & ((side[left] == 0) | (side[left] != side[right]))
+            keep = (100 * small >= percent * large) & ((side[left] == 0) | (side[left] != side[right]))
             left, right = left[keep], right[keep]
             for i in range(0, len(left), step):
                 p, q = left[i : i + step], right[i : i + step]
-                differ = np.count_nonzero(sig[p] != sig[q], axis=1)
-                ok = differ <= max_difference(n[p] + n[q], percent)
+                unlike = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64)
+                ok = unlike <= max_difference(n[p] + n[q], percent)
                 p, q = p[ok], q[ok]
                 if forest and len(p):
                     joins, comp = _joined(comp, p, q)
@@ -221,6 +340,7 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
 
     Each round replaces a node by the least of itself and its neighbours and drops what became a
     loop; the hashed order makes the number of nodes fall by a factor each round, chains included.
+    Tables of a round go when the next one has been written.
     """
     order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -230,11 +350,13 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
         step = both(edges).groupBy("a").agg(F.min(order("b")).alias("m")).select("a", F.when(F.col("m") < order("a"), F.col("m.v")).otherwise(F.col("a")).alias("to"))
         step = written(step, f"{name}-step")
         if roots is None:
-            roots = step.select(F.col("a").alias("node"), F.col("to").alias("root"))
+            roots, old = written(step.select(F.col("a").alias("node"), F.col("to").alias("root")), f"{name}-roots"), None
         else:
-            roots = written(roots.join(step.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), f"{name}-roots")
+            roots, old = written(roots.join(step.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), f"{name}-roots"), roots
         moved = edges.join(step.withColumnRenamed("to", "ta"), "a").join(step.select(F.col("a").alias("b"), F.col("to").alias("tb")), "b")
-        edges = written(moved.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), f"{name}-edges")
+        after = written(moved.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), f"{name}-edges")
+        dropped(edges, step, old)
+        edges = after
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if roots is None else roots
 
 
@@ -246,18 +368,89 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return total.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
 
 
-def _rest(shared: DataFrame, roots: DataFrame, signed: DataFrame, percent: int, forest: bool, name: str) -> DataFrame:
-    """Pairs (a, b) between classes in keys that hold more than one, in blocks."""
-    now = shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
-    now = written(now, f"{name}-now")
+class _Links:
+    """The classes that verified pairs make."""
+
+    def __init__(self, base: DataFrame, nodes: DataFrame, k: int, percent: int, name: str):
+        self.base, self.nodes, self.k, self.percent, self.name = base, nodes, k, percent, name
+        self.roots: DataFrame | None = None
+
+    def _sets(self, pairs: DataFrame) -> DataFrame:
+        """The sets of the nodes in pairs, from the texts that stand for them."""
+        k = self.k
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = written(self.nodes.select("node", "doc_id").join(wanted, "node"), f"{self.name}-wanted")
+        texts = self.base.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+        sets = texts.mapInPandas(lambda it: _sets(it, k), "node long, n long, frag int, elements array<long>")
+        sets = written(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node", "frag"]), f"{self.name}-sets")
+        dropped(wanted)
+        return sets
+
+    def between(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b, ra, rb) whose nodes are in different classes."""
+        if self.roots is None:
+            return pairs.select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb"))
+        root = lambda p: self.roots.select(F.col("node").alias(p), F.col("root").alias(f"r{p}"))
+        out = pairs.select("a", "b").join(root("a"), "a", "left").join(root("b"), "b", "left")
+        return out.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
+
+    def add(self, pairs: DataFrame) -> None:
+        """Verify a written table of pairs (a, b) and join the classes of those that link; the table goes.
+
+        First every class verifies its pair to the class that is least in a hashed order: where near
+        copies all pair with one another, that is one pair for each of them. All that are left follow.
+        """
+        if pairs.isEmpty():
+            return dropped(pairs)
+        sets = self._sets(pairs)
+        between = written(self.between(pairs), f"{self.name}-between")
+        dropped(pairs)
+        ends = between.select("a", "b", F.col("ra").alias("r"), F.col("rb").alias("to")).union(between.select("a", "b", "rb", "ra"))
+        chosen = ends.groupBy("r").agg(F.min(F.struct(F.xxhash64("to").alias("h"), "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+        chosen = written(chosen, f"{self.name}-chosen")
+        self._join(_verified(chosen, sets, self.percent))
+        left = written(self.between(between.join(chosen, ["a", "b"], "left_anti")), f"{self.name}-left")
+        dropped(between, chosen)
+        if not left.isEmpty():
+            self._join(_verified(left, sets, self.percent))
+        return dropped(left, sets)
+
+    def _join(self, links: DataFrame) -> None:
+        """Join classes by links (a, b): roots are contracted, nodes follow their roots."""
+        joined = connected(self.between(links).select(F.col("ra").alias("a"), F.col("rb").alias("b")), self.name)
+        old = self.roots
+        if old is None:
+            self.roots = joined
+            return
+        to = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
+        moved = old.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        self.roots = written(moved.union(joined.join(old, "node", "left_anti").select("node", "root")), f"{self.name}-classes")
+        dropped(old, joined)
+
+
+def _signed(nodes: DataFrame) -> DataFrame:
+    """(node, n, size_class, sketch): a row for each class that a node takes part in."""
+    return nodes.select("node", "n", F.explode(F.arrays_zip("classes", "sketches")).alias("x")).select("node", "n", F.col("x.classes").alias("size_class"), F.col("x.sketches").alias("sketch"))
+
+
+def _size_class(key: str) -> Column:
+    return F.col(key).bitwiseAND(F.lit(63)).cast("int")
+
+
+def _rest(crowded: DataFrame, links: _Links, percent: int, forest: bool, name: str) -> DataFrame:
+    """Pairs (a, b) between classes in larger keys that hold more than one, in blocks."""
+    now = crowded
+    if links.roots is not None:
+        now = now.join(links.roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+    else:
+        now = now.select("key", "node", F.col("node").alias("comp"))
     open_keys = now.groupBy("key").agg(F.count("*").alias("rows"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-    open_keys = open_keys.select("key", (F.col("rows") >= CROWD).alias("crowded"), F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    dealt = now.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    open_keys = open_keys.select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    dealt = now.join(open_keys, "key").withColumn("size_class", _size_class("key")).join(_signed(links.nodes), ["node", "size_class"])
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
-    dealt = dealt.select("key", "node", "comp", "crowded", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), side.alias("side"))
-    dealt = dealt.withColumn("size_class", F.col("key").bitwiseAND(F.lit(63)).cast("int")).join(signed, ["node", "size_class"])
-    dealt = dealt.withColumn("sig", F.when(F.col("crowded"), F.col("fine")).otherwise(F.col("sig"))).drop("fine")
+    dealt = dealt.select("size_class", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "comp", "n", side.alias("side"), "sketch")
     by_class = ["size_class", "key", "low", "high"]
     found = dealt.repartition(*by_class).sortWithinPartitions(*by_class)
     return written(found.mapInPandas(lambda it: _between_classes(it, percent, forest), "a long, b long").distinct(), f"{name}-rest")
@@ -269,44 +462,41 @@ def link_classes(docs: DataFrame, k: int = 5, percent: int = 80, name: str = "ja
     k: words of a shingle; percent: two sets link when 100 * |intersection| >= percent * |union|.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = written(base.mapInPandas(lambda it: _keyed(it, k, percent), "doc_id long, n_shingles long, sig binary, keys array<long>"), f"{name}-keyed")
-
-    known = keyed.where("sig is not null and doc_id is not null")
-    copies = written(known.groupBy("sig").agg(F.min("doc_id").alias("node")), f"{name}-copies")
-    single = known.groupBy("sig").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n"), F.first("keys").alias("keys"))
-    rows = single.select("node", "n", F.explode("keys").alias("key"))
-    by_size = Window.partitionBy("key").orderBy("n", "node")
-    shared = rows.select(
-        "key", "node", "n",
-        F.lag("node").over(by_size).alias("before"),
-        F.lead("node").over(by_size).alias("after"),
-        F.first("node").over(by_size.rowsBetween(Window.unboundedPreceding, 0)).alias("hub"),
-    ).where("before is not null or after is not null").drop("after")
-    shared = written(shared, f"{name}-shared")
-
-    nodes = shared.select("node").distinct()
-    sets = base.select(F.col("doc_id").alias("node"), "text").join(nodes, "node").dropDuplicates(["node"]).mapInPandas(lambda it: _sets(it, k, percent), "node long, n long, frag int, elements array<long>, classes array<int>, signatures array<binary>, fine array<binary>")
-    sets = written(sets, f"{name}-sets")
-    signed = sets.where("frag = 0").select("node", "n", F.explode(F.arrays_zip("classes", "signatures", "fine")).alias("x"))
-    signed = signed.select("node", "n", F.col("x.classes").alias("size_class"), F.col("x.signatures").alias("sig"), F.col("x.fine").alias("fine"))
-
-    sparse = shared.select("node", F.explode(F.array_distinct(F.array("before", "hub"))).alias("other")).where("other is not null and other <> node")
-    sparse = sparse.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    side = lambda p: signed.select(F.col("node").alias(p), F.col("n").alias(f"n{p}"), "size_class", F.col("sig").alias(f"s{p}"))
-    sparse = sparse.join(side("a"), "a").join(side("b"), ["b", "size_class"]).dropDuplicates(["a", "b"])
-    sparse = written(sparse.mapInPandas(lambda it: _may_link(it, percent), "a long, b long"), f"{name}-sparse")
-    links = written(_verified(sparse, sets, percent), f"{name}-links")
-    roots = connected(links, name)
-
+    described = written(base.mapInPandas(lambda it: _described(it, k, percent), "doc_id long, n long, node long, classes array<int>, sketches array<binary>"), f"{name}-described")
+    rows = written(described.select("doc_id", "n", "node"), f"{name}-rows")
+    nodes = described.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first(F.struct("classes", "sketches")).alias("x"))
+    nodes = written(nodes.select("node", "doc_id", "n", "x.classes", "x.sketches"), f"{name}-nodes")
+    dropped(described)
+
+    keyed = base.where("doc_id is not null").select("text").mapInArrow(lambda it: _keyed(it, k, percent), "key long, node long")
+    shared = written(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_met, "key long, node long"), f"{name}-shared", batch=100_000)
+
+    pairs = shared.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_pairs, "a long, b long, size_class int").distinct()
+    pairs = written(pairs, f"{name}-pairs", batch=100_000)
+    many = shared.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > FEW).select("key")
+    crowded = written(shared.join(many, "key"), f"{name}-crowded")
+    dropped(shared)
+
+    side = lambda p: _signed(nodes).select(F.col("node").alias(p), F.col("n").alias(f"n{p}"), "size_class", F.col("sketch").alias(f"s{p}"))
+    likely = pairs.join(side("a"), ["a", "size_class"]).join(side("b"), ["b", "size_class"])
+    likely = written(likely.mapInPandas(lambda it: _may_link(it, percent), "a long, b long").distinct(), f"{name}-likely")
+    dropped(pairs)
+    links = _Links(base, nodes, k, percent, name)
+    links.add(likely)
     # first pairs that would join classes if they link, then all that are left between classes
     for forest in (True, False):
-        more = written(_verified(_rest(shared, roots, signed, percent, forest, name), sets, percent), f"{name}-more")
-        if not more.isEmpty():
-            links = links.union(more)
-            roots = connected(links, name)
-
-    least = roots.groupBy("root").agg(F.min("node").alias("component"))
-    member = roots.join(least, "root").select("node", "component")
-    component = copies.join(member, "node", "left").select("sig", F.coalesce("component", "node").alias("component"))
-    out = keyed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("sig")).alias("sig")).join(component, "sig", "left")
+        links.add(_rest(crowded, links, percent, forest, name))
+    dropped(crowded)
+
+    known = nodes.select("node", "doc_id")
+    if links.roots is not None:
+        member = known.join(links.roots, "node")
+        least = member.groupBy("root").agg(F.min("doc_id").alias("component"))
+        component = written(links.roots.join(least, "root").select("node", "component"), f"{name}-members")
+        known = known.join(component, "node", "left").select("node", F.coalesce("component", "doc_id").alias("component"))
+    else:
+        known = known.select("node", F.col("doc_id").alias("component"))
+    known = written(known, f"{name}-components")
+    dropped(nodes, links.roots)
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(known, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
