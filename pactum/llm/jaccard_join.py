@@ -124,16 +124,17 @@ def sketch(elements: np.ndarray, size_class: int, percent: int) -> bytes:
     return np.packbits((np.bincount(bucket.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def _described(batches: Iterator[pd.DataFrame], k: int, percent: int) -> Iterator[pd.DataFrame]:
-    """(doc_id, n, node, classes, sketches) of each row; no node for an empty set."""
+def _described(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n, node, classes, sketches) of each row; no node for an empty set. 64-bit integers never pass through floats."""
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.binary())]
     for batch in batches:
         rows = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+        for text in batch.column("text").to_pylist():
             s = shingles(text, k)
             classes = classes_of(len(s), percent) if len(s) else []
-            rows.append((doc_id, len(s), digest(s) if len(s) else None, classes, [sketch(s, c, percent) for c in classes]))
-        out = pd.DataFrame(rows, columns=["doc_id", "n", "node", "classes", "sketches"])
-        yield out.astype({"doc_id": "Int64", "node": "Int64"})
+            rows.append((len(s), digest(s) if len(s) else None, classes, [sketch(s, c, percent) for c in classes]))
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n", "node", "classes", "sketches"])
 
 
 def _keyed(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -462,7 +463,7 @@ def link_classes(docs: DataFrame, k: int = 5, percent: int = 80, name: str = "ja
     k: words of a shingle; percent: two sets link when 100 * |intersection| >= percent * |union|.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = written(base.mapInPandas(lambda it: _described(it, k, percent), "doc_id long, n long, node long, classes array<int>, sketches array<binary>"), f"{name}-described")
+    described = written(base.mapInArrow(lambda it: _described(it, k, percent), "doc_id long, n long, node long, classes array<int>, sketches array<binary>"), f"{name}-described")
     rows = written(described.select("doc_id", "n", "node"), f"{name}-rows")
     nodes = described.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first(F.struct("classes", "sketches")).alias("x"))
     nodes = written(nodes.select("node", "doc_id", "n", "x.classes", "x.sketches"), f"{name}-nodes")
