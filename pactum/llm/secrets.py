@@ -9,6 +9,9 @@ it, or ``SPREAD`` repositories of more than ``max_owners`` owners; any other is
 at least) takes the place of ``SPREAD``. Base spans always stay, with their verdict; tokens of
 the further kind become spans only if they are owner-specific.
 
+Who holds a value: in the queries here a repository is a document and an owner its source, as the
+table names no other holders; ``holders`` names the columns of real ones.
+
 Offsets are code points, ends exclusive. Defined results: null and empty texts have no spans;
 a null repository or owner counts as one unnamed holder; repeated rows are repeated;
 columns other than those named play no part.
@@ -20,13 +23,12 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.common import written
+from pactum.llm.common import dropped, written
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -70,25 +72,33 @@ def find(text: str, min_entropy: float = 3.5) -> list[tuple[str, int, int, int,
 def scan(docs: DataFrame, min_entropy: float = 3.5, holders: tuple[str, str] = ("doc_id", "source")) -> DataFrame:
     """(doc_id, repository, owner, candidates) for documents; candidates is an array of spans."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            x["candidates"] = [[dict(zip(("kind", "start", "end", "value_hash", "base"), s, strict=True)) for s in find(t, min_entropy)] if t else [] for t in x.pop("text")]
-            yield x
+    @F.pandas_udf(_SPANS)
+    def candidates(texts: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("kind", "start", "end", "value_hash", "base"), s, strict=True)) for s in find(t, min_entropy)] if t else [] for t in texts], dtype=object)
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.col(holders[0]).cast("string").alias("repository"), F.col(holders[1]).cast("string").alias("owner"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, f"doc_id {id_type}, repository string, owner string, candidates {_SPANS}")
+    return docs.select("doc_id", F.col(holders[0]).cast("string").alias("repository"), F.col(holders[1]).cast("string").alias("owner"), candidates(F.col("text").cast("string")).alias("candidates"))
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """(value_hash, repositories, owners): distinct holders of each candidate value.
+    """(value_hash, repositories, owners, spans): distinct holders of each candidate value, and its spans.
 
     Distinct (value, owner, repository) rows are counted in two steps, so that a value which a
     third of all rows hold is summed from partial counts.
     """
-    one = scanned.select("repository", "owner", F.explode("candidates.value_hash").alias("value_hash")).groupBy("value_hash", "owner", "repository").agg(F.lit(1).alias("one"))
-    by_owner = one.groupBy("value_hash", "owner").agg(F.sum("one").alias("repositories"))
-    return by_owner.groupBy("value_hash").agg(F.sum("repositories").alias("repositories"), F.count("*").alias("owners"))
+    one = scanned.select("repository", "owner", F.explode("candidates.value_hash").alias("value_hash")).groupBy("value_hash", "owner", "repository").agg(F.count("*").alias("spans"))
+    by_owner = one.groupBy("value_hash", "owner").agg(F.count("*").alias("repositories"), F.sum("spans").alias("spans"))
+    return by_owner.groupBy("value_hash").agg(F.sum("repositories").alias("repositories"), F.count("*").alias("owners"), F.sum("spans").alias("spans"))
+
+
+def with_values(spans: DataFrame, values: DataFrame, total: int) -> DataFrame:
+    """Spans joined to values on value_hash; values come with the number of their spans, all together total.
+
+    Values that hold a thousandth of all spans or more are a thousand at most, so they are
+    broadcast; no other value makes a task of more than that share.
+    """
+    hot = F.broadcast(values.where(F.col("spans") * 1000 >= total).drop("spans"))
+    rest = values.where(F.col("spans") * 1000 < total).drop("spans")
+    return spans.join(hot, "value_hash").unionByName(spans.join(hot.select("value_hash"), "value_hash", "left_anti").join(rest, "value_hash"))
 
 
 def is_shared(documents: int, max_owners: int = 1) -> Column:
@@ -102,12 +112,12 @@ def judge(docs: DataFrame, max_owners: int = 1, min_entropy: float = 3.5, holder
 
     row_id tells repeated rows apart.
     """
-    scanned = written(scan(docs, min_entropy, holders), "secrets-scan").withColumn("row_id", F.monotonically_increasing_id())
-    scanned = written(scanned, "secrets-rows")
-    stats = ownership(scanned)
-    spans = scanned.select("row_id", F.explode("candidates").alias("c")).select("row_id", "c.*").join(stats, "value_hash")
-    verdict = F.when(is_shared(scanned.count(), max_owners), "shared-example").otherwise("owner-specific")
-    spans = spans.withColumn("verdict", verdict).where("base or verdict = 'owner-specific'")
+    scanned = written(scan(docs, min_entropy, holders).withColumn("row_id", F.monotonically_increasing_id()), "secrets-scan")
+    stats = written(ownership(scanned), "secrets-stats")
+    documents, total = scanned.agg(F.count("*"), F.coalesce(F.sum(F.size("candidates")), F.lit(0))).first()
+    verdict = F.when(is_shared(documents, max_owners), "shared-example").otherwise("owner-specific")
+    spans = scanned.select("row_id", F.explode("candidates").alias("c")).select("row_id", "c.*")
+    spans = with_values(spans, stats.withColumn("verdict", verdict), total).where("base or verdict = 'owner-specific'")
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     span = F.struct("start", order.alias("ord"), "kind", "end", "base", "repositories", "owners", "verdict", "value_hash")
     per_row = spans.groupBy("row_id").agg(F.sort_array(F.collect_list(span)).alias("spans"))  # as many as one text has
@@ -118,25 +128,28 @@ def redact(docs: DataFrame, max_owners: int = 1, mark: str = "<SECRET>", min_ent
     """The documents with owner-specific values replaced by ``mark`` and n_chars renewed; all rows stay.
 
     Ownership is counted in a first pass; the second finds the spans of each text again and
-    looks their verdicts up among the live values, joined to the rows that hold any.
+    looks their verdicts up among the live values, joined to the rows that hold any. Null and
+    empty texts stay as they are; a row without doc_id goes by the digest of its text; other
+    columns, whatever their names, go along; an empty table stays empty.
     """
-    columns = docs.columns
-    # a row without doc_id goes by the digest of its text
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)))
     named = docs.select(key.alias("doc_id"), "text", *[F.col(h).alias(f"held{i}") for i, h in enumerate(holders)])
     scanned = written(scan(named, min_entropy, ("held0", "held1")), "redact-scan")
-    live = ownership(scanned).where(~is_shared(scanned.count(), max_owners)).select("value_hash")
-    found = scanned.select("doc_id", F.explode("candidates.value_hash").alias("value_hash")).join(live, "value_hash")
-    per_doc = written(found.groupBy("doc_id").agg(F.collect_set("value_hash").alias("live_values")).select(F.col("doc_id").alias("found_in"), "live_values"), "redact-live")
+    documents = scanned.count()
+    live = written(ownership(scanned).where(~is_shared(documents, max_owners)).select("value_hash", "spans"), "redact-values")
+    total = live.agg(F.coalesce(F.sum("spans"), F.lit(0))).first()[0]
+    found = with_values(scanned.select("doc_id", F.explode("candidates.value_hash").alias("value_hash")), live, total)
+    per_doc = written(found.groupBy("doc_id").agg(F.collect_set("value_hash").alias("values")), "redact-live")  # as many as one text has
+    dropped(scanned, live)
 
     @F.pandas_udf("string")
     def masked(text: pd.Series, live_values: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or values is None or not len(values) else mask(t, set(values), mark, min_entropy) for t, values in zip(text, live_values, strict=True)], dtype=object)
 
-    joined = docs.join(per_doc, key == F.col("found_in"), "left")
-    text = masked(F.col("text"), F.col("live_values"))
-    out = joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in columns])
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
+    rows = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
+    joined = rows.join(per_doc, F.col("key") == F.col("doc_id"), "left").select("document", masked(F.col("document.text"), F.col("values")).alias("plain"))
+    new = {"text": F.col("plain"), "n_chars": F.length("plain").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return joined.select(*[new.get(c, F.col(f"document.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mask(text: str, live: set[int], mark: str, min_entropy: float = 3.5) -> str:
