@@ -9,16 +9,20 @@ position of every 64th one bit of the vector, finds a boundary by reading a few
 Layout of a shard, little-endian::
 
     magic 'EFTK'  version u8  id_bytes u8 (2 or 4)  low_bits u8  0
-    documents u64  ids u64  high_words u64  samples u64
-    doc ids: first i64, then n-1 gaps, as zigzag LEB128 (bytes, length u64 before it)
+    documents u64  ids u64  high_words u64  samples u64  doc_id_bytes u64  without_id u64
+    doc ids of documents after the first ``without_id``: the first, then gaps, as zigzag LEB128
     low bits (padded to 8 bytes)  high words u64  samples u32  ids u16/u32
 
 Shards are rows of a Parquet table in the shared folder, ordered by doc_id: Spark writes them
 with its commit protocol, and any store that Spark reads can hold them.
 
+Readers find the boundaries of a run of documents through the select structure: from the sample
+before the first to the sample after the last, a few words of the vector at a time.
+
 Defined results: null and empty texts are documents of one id (the end id); rows of equal
-doc_id keep one place after the other; an empty table gives no shard and no rows. Rows without
-doc_id come first.
+doc_id stand one after the other, in the order of a hash of their texts; an empty table gives no
+shard and no rows. Rows without doc_id come first and are read back without one. A special
+marker that stands in a text gets the id that the library gives it. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -39,8 +43,10 @@ from pyspark.sql import functions as F
 
 from pactum.llm.common import written
 
-MAGIC, VERSION, SAMPLE = b"EFTK", 1, 64
-_HEAD = struct.Struct("<4sBBBxQQQQQ")
+MAGIC, VERSION, SAMPLE = b"EFTK", 2, 64
+_HEAD = struct.Struct("<4sBBBxQQQQQQ")
+#: Documents whose boundaries are looked up at a time.
+RUN = 4096
 #: Ids of a shard, about; a longer document has a shard of its own.
 SHARD_IDS = 1_000_000
 
@@ -83,11 +89,23 @@ class Boundaries:
         place = word * 64 + (bits & -bits).bit_length() - 1
         return ((place - i) << self.low_bits) | self._low(i)
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))[: self.n]
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        low = (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1) if self.low_bits else 0
-        return ((ones - np.arange(self.n)) << self.low_bits) | low
+    def select_range(self, first: int, last: int) -> np.ndarray:
+        """Values first to last - 1, from the words between the samples around them."""
+        if first >= last:
+            return np.empty(0, np.int64)
+        block, after = first // SAMPLE, -(-last // SAMPLE)
+        start = int(self.samples[block]) // 64
+        end = int(self.samples[after]) // 64 + 1 if after < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[start:end].view(np.uint8), bitorder="little")) + 64 * start
+        # ones of earlier samples' runs can share the first word
+        ones = ones[ones >= int(self.samples[block])][first - block * SAMPLE : last - block * SAMPLE]
+        place = np.arange(first, last)
+        if not self.low_bits:
+            return ones - place
+        at = place * self.low_bits
+        bits = np.unpackbits(self.low[at[0] // 8 : (at[-1] + self.low_bits + 7) // 8], bitorder="little")[at[0] % 8 :][: len(place) * self.low_bits]
+        low = (bits.reshape(len(place), self.low_bits).astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
+        return ((ones - place) << self.low_bits) | low
 
 
 def _leb128(values: list[int]) -> bytes:
@@ -112,13 +130,14 @@ def _unleb128(raw: bytes) -> list[int]:
     return out
 
 
-def pack(doc_ids: list[int], lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """A shard of consecutive documents."""
+def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
+    """A shard of consecutive documents; those without an id stand first."""
     id_bytes = 2 if not len(ids) or ids.max() < 1 << 16 else 4
     ends = Boundaries.of(np.cumsum(lengths), len(ids))
-    names = _leb128([b - a for a, b in zip([0, *doc_ids[:-1]], doc_ids, strict=True)])
+    named = [d for d in doc_ids if d is not None]
+    names = _leb128([b - a for a, b in zip([0, *named[:-1]], named, strict=True)] if named else [])
     pad = b"\0" * (-len(ends.low) % 8)
-    head = _HEAD.pack(MAGIC, VERSION, id_bytes, ends.low_bits, ends.n, len(ids), len(ends.high), len(ends.samples), len(names))
+    head = _HEAD.pack(MAGIC, VERSION, id_bytes, ends.low_bits, ends.n, len(ids), len(ends.high), len(ends.samples), len(names), len(doc_ids) - len(named))
     return b"".join([head, names, ends.low.tobytes(), pad, ends.high.tobytes(), ends.samples.tobytes(), ids.astype(f"<u{id_bytes}").tobytes()])
 
 
@@ -126,7 +145,7 @@ class Shard:
     """A packed shard, read in place."""
 
     def __init__(self, raw: bytes):
-        magic, version, id_bytes, low_bits, n, total, words, samples, names = _HEAD.unpack_from(raw)
+        magic, version, id_bytes, low_bits, n, total, words, samples, names, self.without_id = _HEAD.unpack_from(raw)
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a shard of token ids")
         at = _HEAD.size
@@ -144,8 +163,8 @@ class Shard:
     def __len__(self) -> int:
         return self.ends.n
 
-    def doc_ids(self) -> list[int]:
-        return np.cumsum(np.array(_unleb128(self.names), dtype=np.int64)).tolist()
+    def doc_ids(self) -> list[int | None]:
+        return [None] * self.without_id + list(accumulate(_unleb128(self.names)))
 
     def document(self, i: int) -> np.ndarray:
         """Ids of the i-th document."""
@@ -205,8 +224,7 @@ class WordEncoder:
     def __init__(self, path: str, remember: int = 600_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.splitter = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
         split = (kind.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
@@ -214,11 +232,12 @@ class WordEncoder:
         pattern = split.get("pattern", {}).get("Regex", "") if split.get("type") == "Split" else ""
         self.by_word = bool(pattern) and split.get("invert") and split.get("behavior") == "Removed" and "\\s" in pattern and normal == ["NFC", "Replace", "Lowercase"]
         self.pattern = regex.compile(pattern)
-        self.specials = [t["content"] for t in kind.get("added_tokens") or []]
+        # added tokens are found before words are cut, some in the normalised text
+        self.added = [t["content"].lower() for t in kind.get("added_tokens") or []]
+        self.lead = os.path.commonprefix(self.added)
         # fixed and special, and not normalised: it is found in any text as it stands
         special = [t for t in kind.get("added_tokens") or [] if t["special"] and not t["normalized"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"]]
         self.mark, self.mark_id = (special[-1]["content"], special[-1]["id"]) if special else (None, -1)
-        self.lead = os.path.commonprefix(self.specials)
         self.remember = remember
         self.forget()
 
@@ -234,31 +253,35 @@ class WordEncoder:
         """Remember pieces.
 
         Many go to the library as one text, with the tokenizer's special token between them, whose
-        id no ordinary text can have; pieces that hold that token go one by one.
+        id no piece can have.
         """
-        odd = [w for w in pieces if self.mark is None or (self.lead in w and any(s in w for s in self.specials))]
-        skip = set(odd)
-        plain = [w for w in pieces if w not in skip] if skip else pieces
-        for i in range(0, len(plain), 1000):
-            part = plain[i : i + 1000]
-            got = np.array(self.splitter.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, dtype=np.int32)
+        for i in range(0, len(pieces), 1000):
+            part = pieces[i : i + 1000]
+            got = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, dtype=np.int32)
             cut = np.concatenate([[-1], np.flatnonzero(got == self.mark_id), [len(got)]])
             if len(cut) != len(part) + 1:
                 raise ValueError("the tokenizer's special token doesn't part words")
             self.pieces.add(part, got[got != self.mark_id], np.diff(cut) - 1)
-        for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            self.pieces.add([w], np.array(e.ids, dtype=np.int32), np.array([len(e.ids)]))
+
+    def _has_added(self, text: str) -> bool:
+        return self.lead in text and any(a in text.lower() for a in self.added)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_word:
-            return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        whole = [not self.by_word or self.mark is None or self._has_added(t) for t in texts]
+        by_library = iter(self.tokenizer.encode_batch_fast([t for t, w in zip(texts, whole, strict=True) if w], add_special_tokens=False))
+        by_words = iter(self._by_words([t for t, w in zip(texts, whole, strict=True) if not w]))
+        return [np.array(next(by_library).ids, dtype=np.int32) if w else next(by_words) for w in whole]
+
+    def _by_words(self, texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
         words = [t.replace("\n", " ").split(" ") for t in texts]
         self.words.shrink()
         new = list(set().union(*words).difference(self.words.place))
         if new:
-            cut, lead = self.pattern.findall, self.lead
+            cut = self.pattern.findall
             # a word of letters is one piece; one of other characters is cut if its lower case can't depend on neighbours
-            pieces = [([w.lower()] if w.isalpha() else cut(w.lower())) if (w.isascii() or max(w) < "\u0250") and (not lead or lead not in w) else [w] for w in new]
+            pieces = [([w.lower()] if w.isalpha() else cut(w.lower())) if w.isascii() or max(w) < "\u0250" else [w] for w in new]
             self.pieces.shrink()
             self._by_library(list(set().union(*pieces).difference(self.pieces.place)))
             self.words.add(new, *self.pieces.get(pieces))
@@ -288,18 +311,20 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_ids: in
                 at = end
                 if part < 0:
                     part = int(group["part"].iloc[0])
-                for name, ids in zip(group["doc_id"], encoder.encode(group["text"].tolist()), strict=True):
+                for name, without, ids in zip(group["doc_id"], group["without_id"], encoder.encode(group["text"].tolist()), strict=True):
                     if parts and size + len(ids) + 1 > shard_ids:
                         yield shard()
                         names, parts, size, seq = [], [], 0, seq + 1
-                    names.append(int(name))
+                    names.append(None if without else int(name))
                     parts.append(np.append(ids, np.int32(end_id)))
                     size += len(ids) + 1
         if parts:
             yield shard()
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").isNull().alias("without_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("order"))
+    order = [F.desc("without_id"), F.asc("doc_id"), F.asc("order")]  # rows of one id can stand in several tasks
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("order").withColumn("part", F.spark_partition_id())
     return written(rows.mapInPandas(run, "part int, seq int, n_docs long, n_ids long, shard binary"), "token-shards")
 
 
@@ -314,13 +339,16 @@ def read_documents(shards: DataFrame, digest_only: bool = False) -> DataFrame:
         for x in batches:
             for row in x.itertuples(index=False):
                 shard = Shard(row.shard)
-                ends = shard.ends.all()
-                starts = np.concatenate([[0], ends[:-1]])
-                ids = shard.ids.astype("<u4")
-                out = pd.DataFrame({"doc_id": shard.doc_ids(), "part": row.part, "seq": row.seq, "start": starts, "n_tokens": ends - starts, "ids_crc32": [zlib.crc32(ids[a:b]) for a, b in zip(starts, ends, strict=True)]})
-                if not digest_only:
-                    out["ids"] = [ids[a:b].astype(np.int32) for a, b in zip(starts, ends, strict=True)]
-                yield out
+                names = shard.doc_ids()
+                for first in range(0, len(shard), RUN):
+                    last = min(first + RUN, len(shard))
+                    ends = shard.ends.select_range(first, last)
+                    starts = np.concatenate([[shard.ends.select(first - 1) if first else 0], ends[:-1]])
+                    ids = [shard.ids[a:b].astype("<u4") for a, b in zip(starts, ends, strict=True)]
+                    out = pd.DataFrame({"doc_id": pd.array(names[first:last], dtype="Int64"), "part": row.part, "seq": row.seq, "start": starts, "n_tokens": ends - starts, "ids_crc32": [zlib.crc32(x) for x in ids]})
+                    if not digest_only:
+                        out["ids"] = [x.astype(np.int32) for x in ids]
+                    yield out
 
     extra = "" if digest_only else ", ids array<int>"
     inside = shards.select("part", "seq", "shard").mapInPandas(run, f"doc_id long, part int, seq int, start long, n_tokens long, ids_crc32 long{extra}")
@@ -330,5 +358,4 @@ def read_documents(shards: DataFrame, digest_only: bool = False) -> DataFrame:
     parts = parts.select("part", F.coalesce(F.sum("part_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     base = written(sizes.join(parts, "part").select("part", "seq", (F.col("in_part") + F.col("before")).alias("base")), "token-bases")
     out = inside.join(base, ["part", "seq"])
-    doc_id = F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id"))
-    return out.select(doc_id.alias("doc_id"), (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32", *(() if digest_only else ("ids",)))
+    return out.select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32", *(() if digest_only else ("ids",)))
