@@ -20,7 +20,9 @@ least) as find ``RECALL`` of them. If all buckets next to a query's don't, every
 compared with all rows.
 
 Buckets are dealt to parts of about ``PART`` rows; a bucket above that is cut into blocks that
-each meet its queries, so no task holds an unbounded bucket. A query that finds fewer than k
+each meet its queries, so no task holds an unbounded bucket. A query's k-th best score so far
+rules rows out as they are met; scores of what is left are summed again in one fixed order, so
+that equal vectors have equal scores whichever task met them. A query that finds fewer than k
 candidates is compared with all rows, block by block.
 
 Defined results: vectors that are null, zero, of another dimension than most, or that hold a
@@ -37,13 +39,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from pactum.llm.common import written
+from pactum.llm.common import dropped, written
 
 TABLES, HASHES, PROBES, WIDTH = 6, 8, 60, 2.4
 #: Share of the sampled queries' true neighbours that probing has to find, queries sampled, ratio of norms in a band.
 RECALL, SAMPLE, BAND = 0.95, 200, 1.05
-PART = 20_000
+PART = 50_000
 _OUT = "query_id long, vec_id long, score double"
 
 
@@ -109,6 +112,51 @@ def _matrix(v: pd.Series) -> np.ndarray:
     return np.stack(v.to_list()).astype(np.float64) if len(v) else np.empty((0, 0))
 
 
+class _Best:
+    """The k best rows of each query of a block, found so far; what is below a query's k-th score falls at once."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int):
+        self.x, self.ids, self.q, self.own, self.k = x, ids, q, own, k
+        self.row, self.col, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        self.least = np.full(len(q), -np.inf)
+        self.pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+        # products of matrices round differently from shape to shape: what is this near counts as equal until it is rescored
+        self.slack = 8 * np.finfo(np.float64).eps * x.shape[1] * np.linalg.norm(q, axis=1) * (np.linalg.norm(x, axis=1).max() if len(x) else 0.0)
+
+    def meet(self, who: np.ndarray, start: int, end: int) -> None:
+        """Score the rows start to end for the queries who."""
+        score = self.q[who] @ self.x[start:end].T
+        r, c = np.nonzero(score >= (self.least - self.slack)[who][:, None])
+        if len(r):
+            self.pending.append((who[r], c + start, score[r, c]))
+            self.held += len(r)
+            if self.held > 8 * self.k * len(self.q):
+                self.shrink()
+
+    def shrink(self) -> None:
+        row, col, score = (np.concatenate([a, *b]) for a, b in zip((self.row, self.col, self.score), zip(*self.pending, strict=True), strict=True)) if self.pending else (self.row, self.col, self.score)
+        keep = self.ids[col] != self.own[row]
+        row, col, score = row[keep], col[keep], score[keep]
+        order = np.lexsort((-score, row))
+        row, col, score = row[order], col[order], score[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        full = rank == self.k - 1
+        self.least[row[full]] = score[full]
+        keep = score >= (self.least - self.slack)[row]
+        self.row, self.col, self.score, self.pending, self.held = row[keep], col[keep], score[keep], [], 0
+
+    def result(self) -> pd.DataFrame:
+        """The k best by scores summed in one order, so that equal vectors score alike; ties to the smaller vec_id."""
+        self.shrink()
+        score = np.concatenate([np.empty(0), *[(self.x[self.col[i : i + 4096]] * self.q[self.row[i : i + 4096]]).sum(axis=1) for i in range(0, len(self.row), 4096)]])
+        ids = self.ids[self.col]
+        order = np.lexsort((ids, -score, self.row))
+        row, ids, score = self.row[order], ids[order], score[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < self.k
+        return pd.DataFrame({"query_id": self.own[row[keep]], "vec_id": ids[keep], "score": score[keep]})
+
+
 def _nearest(base: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best candidates of each query among the base rows in the buckets that it probes (all, if it names none)."""
     none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
@@ -121,15 +169,16 @@ def _nearest(base: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     ends = np.append(starts[1:], len(bucket))
     probes = queries["probes"].to_list()
     out = []
-    for i in range(0, len(q), 128):
-        block = q[i : i + 128]
-        score = np.full((len(block), len(x)), -np.inf)
-        counts = [len(p) for p in probes[i : i + 128]]
-        for j in (j for j, n in enumerate(counts) if not n):
-            score[j] = x @ block[j]
+    for i in range(0, len(q), 512):
+        best = _Best(x, ids, q[i : i + 512], own[i : i + 512], k)
+        counts = [len(p) for p in probes[i : i + 512]]
+        everywhere = np.array([j for j, n in enumerate(counts) if not n], np.int64)
+        if len(everywhere):
+            for a in range(0, len(x), 1024):
+                best.meet(everywhere, a, min(a + 1024, len(x)))
         if any(counts):
-            who = np.repeat(np.arange(len(block)), counts)
-            what = np.concatenate([p for p in probes[i : i + 128] if len(p)])
+            who = np.repeat(np.arange(len(counts)), counts)
+            what = np.concatenate([p for p in probes[i : i + 512] if len(p)])
             at = np.minimum(np.searchsorted(names, what), len(names) - 1)
             hit = names[at] == what
             who, at = who[hit], at[hit]
@@ -137,20 +186,9 @@ def _nearest(base: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
             who, at = who[order], at[order]
             cut = np.flatnonzero(np.diff(at, prepend=-1, append=-2))
             for a, b in zip(cut[:-1], cut[1:], strict=True):
-                s, e = starts[at[a]], ends[at[a]]
-                score[who[a:b], s:e] = block[who[a:b]] @ x[s:e].T
-        score[own[i : i + 128, None] == ids] = -np.inf
-        if len(x) > k:
-            least = np.partition(score, len(x) - k, axis=1)[:, len(x) - k]
-            row, col = np.nonzero((score >= least[:, None]) & np.isfinite(score))
-        else:
-            row, col = np.nonzero(np.isfinite(score))
-        s = score[row, col]
-        order = np.lexsort((ids[col], -s, row))
-        row, col, s = row[order], col[order], s[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row)
-        keep = rank < k
-        out.append(pd.DataFrame({"query_id": own[i + row[keep]], "vec_id": ids[col[keep]], "score": s[keep]}))
+                for start in range(starts[at[a]], ends[at[a]], 1024):
+                    best.meet(who[a:b], start, min(start + 1024, ends[at[a]]))
+        out.append(best.result())
     return pd.concat(out) if out else none
 
 
@@ -194,18 +232,22 @@ def _enough(rows: DataFrame, family: Hashes, k: int, recall: float, sample: int)
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, width: float = WIDTH, part: int = PART, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score) for vectors (vec_id, embedding); is_query is a condition on them."""
-    v = F.transform(F.col("embedding"), lambda e: e.cast("double"))
+    # single precision travels as it is: double precision of it is exact
+    kind = "float" if vectors.schema["embedding"].dataType.elementType == FloatType() else "double"
+    v = F.col("embedding").cast(f"array<{kind}>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where("vec_id is not null and v is not null")
     finite = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     rows = rows.where(finite & F.exists("v", lambda e: e != 0.0)).dropDuplicates(["vec_id"])
-    rows = written(rows.withColumn("dims", F.size("v")).withColumn("square", F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e)), "ann-vectors")
+    rows = written(rows.withColumn("dims", F.size("v")).withColumn("square", F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double"))), "ann-vectors")
     common = rows.groupBy("dims").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").first()
     if common is None:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = rows
     rows = rows.where(F.col("dims") == common["dims"]).withColumn("band", F.round(F.log(F.greatest("square", F.lit(1e-300))) / (2 * np.log(BAND))))
     # doubles span some 14,000 bands at most
     bands = rows.groupBy("band").agg(F.sqrt(F.max("square")).alias("largest"))
     rows = written(rows.join(F.broadcast(bands), "band").select("vec_id", "v", "asks", "largest"), "ann-bands")
+    dropped(found)
     n = common["n"]
     family = Hashes(common["dims"], tables, hashes, probes, width)
     enough = _enough(rows, family, k, recall, sample)
@@ -231,9 +273,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABL
                     out = [(t, int(p), i, x, codes[at == p]) for i, x, codes, at in zip(b["vec_id"], b["v"], code, where, strict=True) for p in np.unique(at)]
                     yield pd.DataFrame(out, columns=["tab", "part", "vec_id", "v", "probes"])
 
-    base = rows.select("vec_id", "v", "largest").mapInPandas(index, "tab int, part int, bucket long, vec_id long, v array<double>")
+    base = rows.select("vec_id", "v", "largest").mapInPandas(index, f"tab int, part int, bucket long, vec_id long, v array<{kind}>")
     # where no number of probes is enough, none of the queries probes and all rows are met below
-    asked = rows.where(F.col("asks") & F.lit(enough is not None)).select("vec_id", "v").mapInPandas(probe, "tab int, part int, vec_id long, v array<double>, probes array<long>")
+    asked = rows.where(F.col("asks") & F.lit(enough is not None)).select("vec_id", "v").mapInPandas(probe, f"tab int, part int, vec_id long, v array<{kind}>, probes array<long>")
     # buckets above a part's size are cut into blocks; there are at most tables * n / part of them
     large = written(base.groupBy("tab", "part", "bucket").count().where(F.col("count") > part).select("tab", "part", "bucket", F.ceil(F.col("count") / part).cast("int").alias("blocks")), "ann-large")
     if large.isEmpty():
