@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,8 +70,10 @@ def dropped(*tables: DataFrame | None) -> None:
             folder.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
-def text_or_empty(column: str = "text") -> Column:
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+def in_parts(texts: pd.Series, characters: int) -> Iterator[pd.Series]:
+    """Texts in runs of about so many characters, in order."""
+    for _, part in texts.groupby(texts.str.len().fillna(0).to_numpy().cumsum() // characters, sort=True):
+        yield part
 
 
 def fold(doc_id: str, of: int) -> Column:

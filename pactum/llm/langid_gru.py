@@ -1,14 +1,16 @@
 """Language ID: a bidirectional gated recurrent network over bytes, trained in numpy.
 
-Every byte of a text is labelled: two gated recurrent layers, one in each direction, read the
-UTF-8 bytes of a segment of ``SEGMENT`` bytes, and a softmax over both states gives the
-probability of each language at that byte. A document's probabilities are the mean over its
+Every byte of a text is labelled: two gated recurrent layers, one in each direction, read its
+UTF-8 bytes, and a softmax over both states gives the probability of each language at that byte.
+Windows of ``SEGMENT`` bytes are worked on side by side; each is read with ``WARM`` further bytes
+on either side, so that states have settled (whole characters included) where labels count. A document's probabilities are the mean over its
 bytes that can be part of letters. The whole of every text is read; segments of many texts are
 the columns of one matrix, so each step is a few matrix operations.
 
 The gate for the candidate is applied after its recurrent product, so that a step has a single
 product of the state. Training is backpropagation through time with Adam on random segments
-of a bounded sample (``PER_LANGUAGE`` documents of each language).
+of a bounded sample (``PER_LANGUAGE`` documents of each language, fewer where languages are so
+many that ``sampling.ROWS`` would be exceeded).
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; with no
 training row every text is ``und``; with one language, every text with a letter has it.
@@ -27,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pactum.llm import sampling
+from pactum.llm.common import in_parts
 
-PER_LANGUAGE, LANGUAGES = 400, 100
-SEGMENT, HIDDEN = 128, 8
+PER_LANGUAGE, LANGUAGES = 400, 1000
+#: Bytes that a window labels, and bytes read on either side of them before labels count.
+SEGMENT, WARM, HIDDEN = 384, 48, 8
 #: Characters of a text that the least score is measured on.
 CALIBRATE = 4_000
 UNKNOWN = "und"
@@ -37,7 +41,7 @@ _LETTER = regex.compile(r"\p{L}")
 _SPREAD = np.zeros(256, np.float32)
 _SPREAD[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 #: Columns of a matrix that is worked on at a time.
-COLUMNS = 2048
+COLUMNS = 768
 
 
 @dataclass
@@ -110,18 +114,21 @@ class Network:
         raw = [np.frombuffer(texts[i].encode("utf-8", "surrogatepass"), np.uint8) for i in use]
         pieces = np.array([-(-len(r) // SEGMENT) for r in raw])
         owner = np.repeat(np.arange(len(use)), pieces)
-        cells = np.zeros((len(owner), SEGMENT), np.uint8)
-        flat, at = cells.reshape(-1), 0
-        for r, n in zip(raw, pieces.tolist(), strict=True):
-            flat[at : at + len(r)] = r
-            at += n * SEGMENT
+        # every text stands with WARM zeros on both sides, and zeros up to whole windows
+        room = pieces * SEGMENT + 2 * WARM
+        first = np.cumsum(room) - room
+        flat = np.zeros(int(room.sum()), np.uint8)
+        for r, at in zip(raw, first.tolist(), strict=True):
+            flat[at + WARM : at + WARM + len(r)] = r
+        start = np.repeat(first, pieces) + (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * SEGMENT
+        window = np.arange(SEGMENT + 2 * WARM)[:, None]
         mass, total = np.zeros((len(use), len(self.languages))), np.zeros(len(use))
         for i in range(0, len(owner), COLUMNS):
-            part = cells[i : i + COLUMNS]
-            x = np.ascontiguousarray(part.T)
-            # zeros stand only after the end of a text or for a byte 0; the state is 0 there
-            mask = None if part.min() > 0 else (x > 0).astype(np.float32)
-            p = self.logits(x, mask)
+            x = flat[start[i : i + COLUMNS] + window]
+            # zeros stand only around a text or for a byte 0; the state is 0 there
+            mask = None if x.min() > 0 else (x > 0).astype(np.float32)
+            p = self.logits(x, mask)[WARM:-WARM]
+            x = x[WARM:-WARM]
             p -= p.max(axis=1, keepdims=True)
             np.exp(p, out=p)
             weight = _SPREAD[x] / p.sum(axis=1)
@@ -242,19 +249,18 @@ def train_with_least(docs: DataFrame, rows: DataFrame, per_language: int = PER_L
 def predict(docs: DataFrame, net: Network) -> DataFrame:
     """(doc_id, lang_pred, score) for documents (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        net = shared.value
-        for x in batches:
-            length = x["text"].str.len().fillna(0).to_numpy().cumsum() // 4_000_000
-            for _, part in x.groupby(length, sort=True):
-                p = net.score(part["text"].tolist())
-                best = p.argmax(axis=1) if net.languages else np.zeros(len(p), int)
-                score = p[np.arange(len(p)), best] if net.languages else np.zeros(len(p))
-                yield pd.DataFrame({"doc_id": part["doc_id"], "lang_pred": [net.languages[b] if s > 0 else UNKNOWN for b, s in zip(best, score, strict=True)], "score": np.clip(score, 0, 1)})
-
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double")
+    def predicted(texts: pd.Series) -> pd.DataFrame:
+        net, names, scores = shared.value, [], [np.empty(0)]
+        for part in in_parts(texts, 4_000_000):
+            p = net.score(part.tolist())
+            best = p.argmax(axis=1) if net.languages else np.zeros(len(p), int)
+            scores.append(p[np.arange(len(p)), best] if net.languages else np.zeros(len(p)))
+            names += [net.languages[b] if s > 0 else UNKNOWN for b, s in zip(best, scores[-1], strict=True)]
+        return pd.DataFrame({"lang_pred": names, "score": np.clip(np.concatenate(scores), 0, 1)})
+
+    return docs.select("doc_id", predicted(F.col("text").cast("string")).alias("found")).select("doc_id", "found.lang_pred", "found.score")
 
 
 def keep_known(docs: DataFrame, net: Network, least: float) -> DataFrame:

@@ -12,16 +12,18 @@ headers, resynchronises after damage (a header counts only if the next one follo
 stream ends there), reads the Xing table, verifies checksums, and gives exact durations
 (samples over the rate) and the byte offset of every frame.
 
-Defined results: null and empty texts store a payload of 192 spaces; streams without any frame
-have 0 frames, duration 0 and an empty payload.
+Defined results: null and empty texts store a payload of 192 spaces; a null stream counts as an
+empty one; streams without any frame have 0 frames, duration 0 and an empty payload; a length
+of the payload that is not a number in ASCII digits is left aside; repeated rows are repeated,
+empty tables stay empty, and other columns play no part.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -140,9 +142,9 @@ def _id3v2(raw: bytes, tags: dict[str, str]) -> int:
     return end
 
 
-def decode(raw: bytes) -> Stream:
+def decode(raw: bytes | None) -> Stream:
     """Parse a stream."""
-    out = Stream()
+    raw, out = raw or b"", Stream()
     at = _id3v2(raw, out.tags)
     end = len(raw) - 128 if raw[-128:-125] == b"TAG" and len(raw) >= at + 128 else len(raw)
     offsets: list[int] = []
@@ -193,7 +195,7 @@ def decode(raw: bytes) -> Stream:
     out.offsets, out.frames, out.seconds = np.array(offsets, dtype=np.int64), len(offsets), samples
     named = out.tags.get("payload_bytes", "")
     payload = b"".join(parts)
-    out.payload = payload[: int(named)] if named.isdigit() else payload
+    out.payload = payload[: int(named)] if re.fullmatch("[0-9]{1,18}", named) else payload
     return out
 
 
@@ -206,36 +208,32 @@ def padded(text: str | None) -> tuple[int, bytes]:
 def store(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): every whole text as a stream."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            for i in range(0, len(x), 500):
-                part = x.iloc[i : i + 500]
-                stored = [padded(t) for t in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_bytes": [n for n, _ in stored], "media": [encode(p) for _, p in stored]})
+    @F.pandas_udf("n_bytes long, media binary")
+    def stored(texts: pd.Series) -> pd.DataFrame:
+        found = [padded(t) for t in texts]
+        return pd.DataFrame({"n_bytes": [n for n, _ in found], "media": [encode(p) for _, p in found]}, columns=["n_bytes", "media"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id {kind}, n_bytes long, media binary")
+    return docs.select("doc_id", stored(F.col("text").cast("string")).alias("found")).select("doc_id", "found.n_bytes", "found.media")
 
 
-def inspect(media: DataFrame, keep: str = "") -> DataFrame:
+def inspect(media: DataFrame, *keep: str) -> DataFrame:
     """What decode finds in each stream, with digests of the payload and of the stream.
 
-    Columns: those named in keep (DDL), payload_bytes, payload_sha256, tail_crc32, media_bytes,
+    Columns: those named in keep, payload_bytes, payload_sha256, tail_crc32, media_bytes,
     media_sha256, frames, duration_us, bad_checksums, resyncs, frame_offsets, feature.
     """
-    kept = [x.split()[0] for x in keep.split(",") if x.strip()]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            rows = []
-            for raw in x["media"]:
-                s = decode(raw)
-                mean = round(sum(b * n for b, n in s.bitrates.items()) / s.frames) if s.frames else 0
-                micros = round(s.seconds * 1_000_000)
-                feature = f"mp3;frames={s.frames};us={micros};kbps={mean};rate={s.rate};table={s.table_frames}/{s.table_bytes};bad={s.bad_checksums};resync={s.resyncs};seek={zlib.crc32(s.seek):08x}"
-                rows.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), s.frames, micros, s.bad_checksums, s.resyncs, s.offsets, feature))
-            found = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames", "duration_us", "bad_checksums", "resyncs", "frame_offsets", "feature"])
-            yield pd.concat([x[kept].reset_index(drop=True), found], axis=1)
-
-    schema = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames long, duration_us long, bad_checksums long, resyncs long, frame_offsets array<long>, feature string"
-    return media.select(*kept, "media").mapInPandas(run, f"{keep}, {schema}" if keep else schema)
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames", "duration_us", "bad_checksums", "resyncs", "frame_offsets", "feature"]
+
+    @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames long, duration_us long, bad_checksums long, resyncs long, frame_offsets array<long>, feature string")
+    def found(streams: pd.Series) -> pd.DataFrame:
+        rows = []
+        for raw in streams:
+            raw = raw or b""
+            s = decode(raw)
+            mean = round(sum(b * n for b, n in s.bitrates.items()) / s.frames) if s.frames else 0
+            micros = round(s.seconds * 1_000_000)
+            feature = f"mp3;frames={s.frames};us={micros};kbps={mean};rate={s.rate};table={s.table_frames}/{s.table_bytes};bad={s.bad_checksums};resync={s.resyncs};seek={zlib.crc32(s.seek):08x}"
+            rows.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), s.frames, micros, s.bad_checksums, s.resyncs, s.offsets, feature))
+        return pd.DataFrame(rows, columns=names)
+
+    return media.select(*keep, found("media").alias("found")).select(*keep, "found.*")

@@ -135,9 +135,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) for documents (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            yield pd.DataFrame({"doc_id": x["doc_id"], "score": shared.value.score(x["text"].tolist())})
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.score(texts.tolist()))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", scored(F.col("text").cast("string")).alias("score"))

@@ -8,8 +8,9 @@ of one document don't make its words toxic. Tokens of clean documents are not to
 has hashed features of a word (itself, prefixes, suffix) and of its neighbours, a bias
 and label transitions, and is fitted by gradient ascent on the exact log-likelihood.
 
-Scoring runs forward-backward over every token of every text, in segments of ``SEGMENT``
-tokens as rows of a matrix. A document's score is a logistic function of its largest marginal
+Scoring runs forward-backward over the whole chain of every text. Segments of ``SEGMENT``
+tokens are columns of a matrix; messages at their ends go on into the next segment and the one
+before, until no message moves by ``SETTLED``, so marginals are those of the uncut chain. A document's score is a logistic function of its largest marginal
 log-odds and of the log of its expected number of toxic tokens, fitted on the same sample;
 tokens with a marginal of at least ``SPAN`` give the offending offsets (code points).
 
@@ -30,9 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pactum.llm import sampling
+from pactum.llm.common import in_parts
 
 POSITIVE, NEGATIVE = 1500, 4500
 SEGMENT, SPAN = 64, 0.5
+SETTLED = 1e-7
 BITS = 18
 REMEMBER = 300_000
 _FLOOR = -30.0
@@ -94,6 +97,38 @@ def forward_backward(e: np.ndarray, mask: np.ndarray, moves: np.ndarray) -> tupl
     return a, b
 
 
+def chained(e: np.ndarray, mask: np.ndarray, moves: np.ndarray, goes_on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``forward_backward`` over chains that span columns; goes_on: columns that go on with the chain of the one before.
+
+    What a message changes fades from position to position, so each round works on a few rows
+    only; a round that reaches the end of a segment is followed by one for the segments after.
+    """
+    (m00, m01), (m10, m11) = moves
+    a, b = forward_backward(e, mask, moves)
+    later = np.flatnonzero(goes_on)
+    while len(later):
+        x, moved = a[-1, later - 1], np.ones(len(later), bool)
+        for t in range(len(e)):
+            x = e[t, later] + _step(x, m00, m01, m10, m11)
+            moved = (np.abs(x - a[t, later]) > SETTLED) & mask[t, later]
+            a[t, later] = x
+            if not moved.any():
+                break
+        later = np.intersect1d(later[moved] + 1, np.flatnonzero(goes_on))
+    earlier = np.flatnonzero(goes_on) - 1
+    while len(earlier):
+        x, moved = _step(e[0, earlier + 1] + b[0, earlier + 1], m00, m10, m01, m11), np.ones(len(earlier), bool)
+        for t in range(len(e) - 1, -1, -1):
+            moved = np.abs(x - b[t, earlier]) > SETTLED
+            b[t, earlier] = x
+            if not moved.any():
+                break
+            if t:
+                x = _step(e[t, earlier] + x, m00, m10, m01, m11)
+        earlier = np.intersect1d(earlier[moved] - 1, np.flatnonzero(goes_on) - 1)
+    return a, b
+
+
 class Tagger:
     """Scores texts; remembers the features of words it has met."""
 
@@ -131,7 +166,10 @@ class Tagger:
         if not counts.sum():
             return np.empty(0, np.float32), counts
         e, mask, place = _seg(self.emissions(words, counts), counts)
-        a, b = forward_backward(e, mask, self.field.moves)
+        pieces = -(-counts // SEGMENT)
+        goes_on = np.ones(mask.shape[1], bool)
+        goes_on[(np.cumsum(pieces) - pieces)[counts > 0]] = False
+        a, b = chained(e, mask, self.field.moves, goes_on)
         odds = np.empty(int(counts.sum()), np.float32)
         odds[place[mask]] = (a + b)[mask]
         return odds, counts
@@ -212,7 +250,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1.0
 
 
 def fit(texts: list[str], toxic: np.ndarray, epochs: int = 6, batch: int = 512, rate: float = 0.3, segments: int = 8_000, seed: int = 3) -> Field:
-    """Fit on texts with document labels 0/1."""
+    """Fit on texts with document labels 0/1.
+
+    The field is fitted on ``segments`` segments with toxic tokens and as many without at most, drawn
+    at random, each a chain of its own.
+    """
     field = Field(np.zeros(1 << BITS, np.float32), -3.0, np.zeros((2, 2)), np.array([-30.0, 0.0, 0.0]))
     toxic = np.asarray(toxic, dtype=np.int64)
     if not toxic.any() or toxic.all():
@@ -272,9 +314,8 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 6, batch: int = 512,
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positive: int = POSITIVE, negative: int = NEGATIVE) -> Field:
     """Fit on a bounded sample of labelled documents. labels: (doc_id, label 0/1), training rows only."""
-    most = max(positive, negative)
-    got = sampling.collect(sampling.per_class(labels, "doc_id", label, most, classes=2), docs, most)
-    got = pd.concat([got[got["label"] == "1"].head(positive), got[got["label"] == "0"].head(negative)])
+    most = {"1": positive, "0": negative}
+    got = sampling.collect(sampling.per_class(labels, "doc_id", label, most, classes=2), docs, most).sort_values("label", ascending=False, kind="stable")
     return fit(got["text"].tolist(), (got["label"] == "1").to_numpy().astype(np.int64))
 
 
@@ -282,13 +323,11 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
     """(doc_id, score, spans) for documents (doc_id, text); spans is array<struct<start,end>>."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("score double, spans array<struct<start:int,end:int>>")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tagger = Tagger(shared.value)
-        for x in batches:
-            length = x["text"].str.len().fillna(0).to_numpy().cumsum() // 3_000_000
-            for _, part in x.groupby(length, sort=True):
-                found, spans = tagger.score(part["text"].tolist())
-                yield pd.DataFrame({"doc_id": part["doc_id"], "score": found, "spans": [[{"start": a, "end": b} for a, b in s] for s in spans]})
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id {kind}, score double, spans array<struct<start:int,end:int>>")
+        for texts in batches:
+            parts = [tagger.score(part.tolist()) for part in in_parts(texts, 3_000_000)]
+            yield pd.DataFrame({"score": [x for found, _ in parts for x in found], "spans": [[{"start": a, "end": b} for a, b in s] for _, spans in parts for s in spans]})
+
+    return docs.select("doc_id", scored(F.col("text").cast("string")).alias("found")).select("doc_id", "found.score", "found.spans")
