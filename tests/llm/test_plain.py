@@ -6,6 +6,7 @@ import base64
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -41,15 +42,13 @@ def test_bpe_of_long_runs_and_nothing():
 @given(TEXTS)
 def test_words_equal_the_library(text):
     library = Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
     assert token_store.WordEncoder.load(WORDS).encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
-def test_special_tokens_are_text_and_memory_shrinks():
+def test_special_tokens_are_the_librarys_and_memory_shrinks():
     library = Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
     encoder = token_store.WordEncoder(WORDS, remember=3)
-    for text in ("a <|endoftext|> b", "<|startoftext|>x", "some words, some other words", "b a some"):
+    for text in ("a <|endoftext|> b", "<|startoftext|>x", "A<|STARTOFTEXT|> <|EndOfText|>b", "<| <|end <|endoftext", "some words, some other words", "b a some"):
         assert encoder.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
@@ -58,7 +57,9 @@ def test_special_tokens_are_text_and_memory_shrinks():
 def test_boundaries(lengths):
     ends = np.cumsum(lengths)
     b = token_store.Boundaries.of(ends, int(ends[-1]))
-    assert b.all().tolist() == ends.tolist()
+    for first in (0, 1, 63, 64, 200):
+        for last in (first, first + 1, first + 64, len(ends)):
+            assert b.select_range(first, min(last, len(ends))).tolist() == ends[first:last].tolist()
     assert [b.select(i) for i in range(len(ends))] == ends.tolist()
 
 
@@ -66,6 +67,8 @@ def test_shard_round_trip():
     ids = np.arange(70_000, dtype=np.int32)
     raw = token_store.pack([-5, -5, 7], np.array([1, 0, 69_999]), ids)
     shard = token_store.Shard(raw)
+    wide = [None, None, -(1 << 63), (1 << 63) - 1]
+    assert token_store.Shard(token_store.pack(wide, np.ones(4, np.int64), np.arange(4))).doc_ids() == wide
     assert shard.doc_ids() == [-5, -5, 7]
     assert [len(shard.document(i)) for i in range(3)] == [1, 0, 69_999]
     assert (shard.document(2) == ids[1:]).all()
@@ -165,6 +168,41 @@ def test_forward_backward_equals_enumeration():
     assert 1 / (1 + np.exp(-(a + b)[:, 0])) == pytest.approx(hot / total)
 
 
+def test_long_texts_are_one_chain():
+    """Marginals over segments equal those of the uncut chain, also where messages fade slowly."""
+    rng = np.random.default_rng(4)
+    field = toxicity_crf.Field(rng.standard_normal(1 << toxicity_crf.BITS).astype(np.float32) * 0.3, -0.5, np.array([[1.5, -1.5], [-1.5, 2.5]]), np.zeros(3))
+    texts = [" ".join(f"w{rng.integers(0, 50)}" for _ in range(n)) for n in (1, 63, 64, 65, 500, 129)]
+    tagger = toxicity_crf.Tagger(field)
+    odds, counts = tagger.marginals([*texts, None, ""])
+    at = 0
+    for t, n in zip(texts, counts.tolist(), strict=False):
+        e = tagger.emissions([t.split()], np.array([n])).astype(np.float64)[:, None]
+        a, b = toxicity_crf.forward_backward(e, np.ones((n, 1), bool), field.moves)
+        assert odds[at : at + n] == pytest.approx((a + b)[:, 0], abs=1e-4)
+        at += n
+
+
+def test_windows_read_beyond_their_ends():
+    """Scores of a text hardly depend on where its windows are cut."""
+    docs = pd.read_parquet("/root/testdata/sf0.001/documents.parquet").dropna(subset=["lang", "text"])
+    net = langid_gru.fit(docs.text.tolist(), docs.lang.tolist(), rounds=150)
+    texts = [t for t in docs.text if 500 < len(t) < 5000][:20]
+    for text, got in zip(texts, net.score(texts), strict=True):
+        x = np.frombuffer(text.encode(), np.uint8)[:, None]
+        p = np.exp(net.logits(x, None)[:, :, 0])
+        p /= p.sum(axis=1, keepdims=True)
+        assert got == pytest.approx(p[langid_gru._SPREAD[x[:, 0]] > 0].mean(axis=0), abs=5e-3)
+
+
+def test_audio_of_odd_streams():
+    assert mpeg_audio.decode(None).frames == 0
+    raw = mpeg_audio.encode(b"abc" * 100)
+    assert mpeg_audio.decode(raw.replace(b"payload_bytes\x00300", b"payload_bytes\x003\xc2\xb2")).frames == mpeg_audio.decode(raw).frames
+    at = mpeg_audio.decode(raw).offsets
+    assert all(raw[i] == 0xFF and mpeg_audio._frame(raw, int(i)) for i in at)
+
+
 def test_field_and_support_vectors():
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)]

@@ -114,7 +114,11 @@ def test_secrets_of_many_and_of_two(spark):
 
 
 def test_token_store(spark):
-    shards = token_store.write_shards(documents(spark, ODD), queries.public_tokenizers.path("word_bpe_49k.json"), shard_ids=200)
+    path = queries.public_tokenizers.path("word_bpe_49k.json")
+    whole = token_store.write_shards(documents(spark, [(None, "a b", "x"), (5, "c", "x"), (5, "d e", "x")]), path)
+    assert [r.doc_id for r in token_store.read_documents(whole).orderBy("start").collect()] == [None, 5, 5]
+    assert token_store.read_documents(token_store.write_shards(documents(spark, []), path)).count() == 0
+    shards = token_store.write_shards(documents(spark, ODD), path, shard_ids=200)
     got = sorted(token_store.read_documents(shards).collect(), key=lambda r: r.start)
     assert len(got) == len(ODD) and got[0].doc_id is None
     at = 0
@@ -144,10 +148,25 @@ def test_neighbours(spark):
     assert sorted(r.vec_id for r in few) == [1, 2, 3, 4]
 
 
+def test_copies_come_in_order(spark):
+    """Equal vectors score alike in whichever task they are met, so their ids are in order."""
+    x = np.random.default_rng(3).standard_normal((120, 32)).astype(np.float32)
+    rows = [(i, x[i % 120].tolist()) for i in range(1200)]
+    got = ann_multiprobe.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, part=150).collect()
+    assert len(got) == 60 * 20
+    by = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        by.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    for q, found in by.items():
+        assert found == sorted(found)
+        assert [i for _, i in found[:9]] == [i for i in range(q % 120, 1200, 120) if i != q]
+
+
 def recall_of(spark, monkeypatch, x, every, **how):
     """Recall at 20 against brute force, of queries none of which falls back to all rows."""
     tables = {}
     monkeypatch.setattr(ann_multiprobe, "written", lambda df, name: tables.setdefault(name, common.written(df, name)))
+    monkeypatch.setattr(ann_multiprobe, "dropped", lambda *tables: None)
     table = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<double>")
     got = ann_multiprobe.search(table, F.col("vec_id") % every == 0, **how).collect()
     assert tables["ann-short"].isEmpty()
