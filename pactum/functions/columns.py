@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Stands in front of every match while positions are found; a text's own is replaced before.
-MARK = "\x01"
-
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value evaluated once however often use refers to it."""
@@ -41,32 +40,27 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-def group(c: Column, pattern: str, n: int = 1) -> Column:
-    """Group of the first match, or null; an empty group is null."""
-    return F.nullif(F.regexp_extract(c, pattern, n), F.lit(""))
-
-
-def groups(c: Column, pattern: str, n: int = 1) -> Column:
-    """Groups of all matches."""
-    return F.regexp_extract_all(c, F.lit(pattern), F.lit(n))
-
-
 def words(c: Column) -> Column:
     """Split at white space; an empty text has no words."""
     return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
 
 
 def matches(c: Column, pattern: str) -> Column:
-    """array<struct<start,text>>: where each match of a pattern starts (code points from 0) and the rest of the
-    text from there to the next match.
-
-    A mark goes in front of every match, the text is split at the marks, and lengths are summed.
+    """array<struct<start,text>>: where each match of a pattern (of Python's engine) starts (code points from 0) and
+    the rest of the text from there to the next match. One pass, linear in the text.
     """
-    parts = F.split(F.regexp_replace(F.translate(c, MARK, " "), pattern, MARK + "$0"), MARK, -1)
-    start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("out"))
-    # the first part is what stands before any match
-    step = lambda acc, part: F.when(acc["at"] < 0, F.struct(F.length(part).alias("at"), acc["out"].alias("out"))).otherwise(F.struct((acc["at"] + F.length(part)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), part.alias("text")))).alias("out")))
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("text", pa.string())]))
+    known = re.compile(pattern)
+
+    @F.arrow_udf("array<struct<start:int,text:string>>")
+    def run(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            at = [m.start() for m in known.finditer(t)] if t else []
+            out.append(None if t is None else [{"start": a, "text": t[a:b]} for a, b in zip(at, [*at[1:], len(t)], strict=False)])
+        return pa.array(out, type=kind)
+
+    return run(c)
 
 
 def envelope(value: Column, confidence: Column | float, kind: str, source: str = "deterministic") -> Column:

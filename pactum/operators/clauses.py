@@ -1,6 +1,6 @@
 """The clause map: detect headings, span them, drop noise, name them by the shared vocabulary.
 
-Two forms. ``clause_map`` is one column expression over a text, so that records need no shuffle
+Two forms. ``clauses_of_text`` is one column function over a text, so that records need no shuffle
 and stream. ``explode_detected`` and ``canonical_titles`` are relational: detected headings as
 rows, and distinct titles joined to the vocabulary, an equi-join first and a containment join
 with arg-max for what is left.
@@ -8,15 +8,24 @@ with arg-max for what is left.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pactum.functions import fields as X
 from pactum.functions import patterns as P
+from pactum.functions import reading
 from pactum.functions import vocab as V
-from pactum.functions.columns import let, literal_map, literal_rows, matches, strip, title_case, words
+from pactum.functions.columns import let, literal_map, literal_rows, strip, title_case, words
 
-#: A detected heading.
-HEADING = "struct<title:string,detected:string,start:int,end:int>"
+_HEADING = X.rows(title=pa.string(), detected=pa.string(), start=pa.int32(), end=pa.int32())
+_CLAUSE = X.rows(canonical_title=pa.string(), detected_title=pa.string(), tier=pa.string(), span=X.rows(start=pa.int32(), end=pa.int32()), confidence=pa.float64(), source=pa.string(), mapped=pa.bool_())
+
+#: struct<tier,headings> of a text: the first detector with enough headings.
+detected = X.arrow(reading.detected, X.rows(tier=pa.string(), headings=pa.list_(_HEADING)))
+#: Clauses of what ``detected`` gives, and of a text at once.
+clause_map = X.arrow(reading.clause_map, pa.list_(_CLAUSE))
+clauses_of_text = X.arrow(lambda text: reading.clause_map(reading.detected(text)), pa.list_(_CLAUSE))
 
 
 def strip_number(c: Column) -> Column:
@@ -37,82 +46,12 @@ def is_heading_like(title: Column) -> Column:
     return let(parts, lambda p: F.size(p).between(1, 9) & F.when(F.size(p) == 1, one(F.element_at(p, 1))).otherwise(every(p)))
 
 
-def is_caps_heading(title: Column) -> Column:
-    return (F.size(words(title)) >= 2) | (F.length(F.regexp_replace(title, "[^A-Z]", "")) >= 4)
-
-
 def is_noise(title: Column) -> Column:
     """Codes, front and back matter, fragments of definitions and placeholders."""
     opener = lambda t: F.substring(t, 1, 1).isin(*P.NOISE_OPENERS)
     return let(strip(title), lambda t: t.rlike(P.NOISE_DIGITS) | t.rlike(P.NOISE_PREFIX) | (t == "") | opener(t) | t.rlike(P.NOISE_PLACEHOLDER))
 
 
-def _spans(found: Column, text: Column) -> Column:
-    """(title, detected, start, end) of kept matches (at, title, line, start): each ends where the next match starts."""
-    end = lambda i: F.coalesce(F.try_element_at(found, i + 2)["at"], F.length(text))
-    return F.transform(found, lambda m, i: F.struct(strip_number(strip(m["raw"])).alias("title"), strip(m["line"]).alias("detected"), m["start"].cast("int").alias("start"), end(i).cast("int").alias("end")))
-
-
-def _on_line(text: Column, pattern: str) -> Column:
-    """Matches that start at a line's start: (at, raw title, the title's line, its start)."""
-
-    def one(m: Column) -> Column:
-        raw = F.regexp_extract(m["text"], pattern, 1)
-        # white space may lead over line breaks: the span starts at the line of the title
-        whole = F.regexp_extract(m["text"], pattern, 0)
-        tail = F.call_function("substring_index", whole, raw, F.lit(-1))
-        head = whole.substr(F.lit(1), F.length(whole) - F.length(tail) - F.length(raw))
-        skipped = F.length(head) - F.length(F.substring_index(head, "\n", -1))
-        line = F.substring_index(m["text"].substr(skipped + 1, F.length(m["text"])), "\n", 1)
-        return F.struct(m["start"].alias("at"), raw.alias("raw"), line.alias("line"), (m["start"] + skipped).alias("start"))
-
-    return F.transform(matches(text, pattern), one)
-
-
-def _caps(text: Column) -> Column:
-    """All-caps headings between blank lines; the span starts after the line breaks that the match begins with."""
-
-    def one(m: Column) -> Column:
-        raw = F.regexp_extract(m["text"], r"^\n{1,2}([A-Z][A-Z0-9 \-/&,]{1,}[A-Z0-9])\s*\n\n", 1)
-        breaks = F.length(F.regexp_extract(m["text"], r"^\n+", 0))
-        line = F.substring_index(F.regexp_replace(m["text"], r"^\n+", ""), "\n", 1)
-        return F.struct(m["start"].alias("at"), raw.alias("raw"), line.alias("line"), (m["start"] + breaks).alias("start"))
-
-    return F.transform(matches(text, P.CAPS), one)
-
-
-def _articles(text: Column) -> Column:
-    """Marker lines whose title is the next line with text."""
-
-    def one(m: Column) -> Column:
-        after = m["text"].substr(F.length(F.regexp_extract(m["text"], P.ARTICLE, 0)) + 1, F.length(m["text"]))
-        line = F.coalesce(F.try_element_at(F.filter(F.transform(F.split(after, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"), strip), lambda x: x != ""), F.lit(1)), F.lit(""))
-        return let(line, lambda x: F.struct(strip_number(x).alias("title"), x.alias("detected"), m["start"].cast("int").alias("start"), (m["start"] + F.length(m["text"])).cast("int").alias("end")))
-
-    kept = lambda found: F.filter(F.transform(found, one), lambda a: (a["title"] != "") & is_heading_like(a["title"]))
-    return let(matches(text, P.ARTICLE), lambda found: F.when(F.size(found) >= 2, kept(found)).otherwise(F.array().cast(f"array<{HEADING}>")))
-
-
-def detected(text: Column) -> Column:
-    """struct<tier,headings>: the first detector with enough headings. Later ones aren't evaluated for the text."""
-    none = F.struct(F.lit(None).cast("string").alias("tier"), F.array().cast(f"array<{HEADING}>").alias("headings"))
-    is_tier = lambda name, headings: F.struct(F.lit(name).alias("tier"), headings.alias("headings"))
-
-    def first_of(tests: list[tuple[str, Column, int, bool]]) -> Column:
-        if not tests:
-            return none
-        name, found, least, spanned = tests[0]
-        return let(found, lambda x: F.when(F.size(x) >= least, is_tier(name, x if spanned else _spans(x, text))).otherwise(first_of(tests[1:])))
-
-    return first_of([
-        ("h2", _on_line(text, P.H2), 1, False),
-        ("bold-numbered", _on_line(text, P.BOLD), 2, False),
-        ("numbered", F.filter(_on_line(text, P.NUMBERED), lambda m: is_heading_like(m["raw"])), 2, False),
-        ("numbered", _articles(text), 2, True),
-        ("all-caps", F.filter(_caps(text), lambda m: is_caps_heading(m["raw"])), 2, False),
-    ])
-
-
 def canonical(title: Column) -> Column:
     """struct<title,mapped>: exact key, else the longest alias (first on ties) that contains or is contained, else the title itself."""
     rows = V.aliases()
@@ -127,30 +66,6 @@ def canonical(title: Column) -> Column:
     return let(clause_key(title), lambda key: F.when(key == "", empty).otherwise(let(F.coalesce(F.try_element_at(names, key), near(key)), named)))
 
 
-def confidence(tier: Column, mapped: Column) -> Column:
-    out = F.lit(None).cast("double")
-    for name, (yes, no) in V.TIER_CONFIDENCE.items():
-        out = F.when(tier == name, F.when(mapped, yes).otherwise(no)).otherwise(out)
-    return out
-
-
-def clause_map(found: Column) -> Column:
-    """Clauses of what ``detected`` gives: without headings that repeat three times or more, without noise, named and scored."""
-    keyed = F.transform(found["headings"], lambda h: F.struct(h.alias("h"), clause_key(h["title"]).alias("key")))
-    # occurrences of a key are counted once, not searched for each heading
-    counts = lambda ks: F.aggregate(ks, F.create_map().cast("map<string,int>"), lambda m, k: F.map_concat(F.map_filter(m, lambda n, _: n != k["key"]), F.create_map(k["key"], F.coalesce(F.try_element_at(m, k["key"]), F.lit(0)) + 1)))
-    kept = let(keyed, lambda ks: let(counts(ks), lambda n: F.filter(ks, lambda x: (F.element_at(n, x["key"]) < 3) & ~is_noise(x["h"]["title"]))))
-
-    def clause(x: Column, name: Column) -> Column:
-        return F.struct(
-            name["title"].alias("canonical_title"), x["h"]["detected"].alias("detected_title"), found["tier"].alias("tier"),
-            F.struct(x["h"]["start"].alias("start"), x["h"]["end"].alias("end")).alias("span"),
-            confidence(found["tier"], name["mapped"]).alias("confidence"), F.lit("deterministic").alias("source"), name["mapped"].alias("mapped"),
-        )
-
-    return F.transform(kept, lambda x: let(canonical(x["h"]["title"]), lambda name: clause(x, name)))
-
-
 # --- relational form -------------------------------------------------------------------------
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import urllib.request
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -56,6 +57,49 @@ def config(home: Path | None = None) -> dict | None:
     return found if isinstance(found, dict) and found.get("api_key") else None
 
 
+# What a provider's service is asked when the configuration names no model.
+_MODELS = {"anthropic": "claude-sonnet-4-6", "": "gpt-4o-mini"}
+
+
+class Provider:
+    """A language model's service by HTTP: messages of one provider, or chat completions of any that offers them.
+
+    settings: api_key, and optionally provider, model and base_url. Calling it with a prompt gives the
+    reply's text, or None where the reply has none; failures raise.
+    """
+
+    def __init__(self, settings: dict, timeout: float = 30.0):
+        name = str(settings.get("provider") or "anthropic").lower()
+        self.own, self.timeout = name == "anthropic", timeout
+        self.model = settings.get("model") or _MODELS.get(name, _MODELS[""])
+        if self.own:
+            self.url = "https://api.anthropic.com/v1/messages"
+            self.headers = {"x-api-key": settings["api_key"], "anthropic-version": "2023-06-01"}
+        else:
+            self.url = str(settings.get("base_url") or "https://api.openai.com/v1").rstrip("/") + "/chat/completions"
+            self.headers = {"authorization": f"Bearer {settings['api_key']}"}
+
+    def request(self, text: str) -> urllib.request.Request:
+        body = {"model": self.model, "messages": [{"role": "user", "content": text}]} | ({"max_tokens": 1024} if self.own else {})
+        return urllib.request.Request(self.url, json.dumps(body).encode(), {"content-type": "application/json", **self.headers}, method="POST")
+
+    def said(self, body: dict) -> str | None:
+        """The text of a reply's body."""
+        if self.own:
+            return "".join(part.get("text", "") for part in body.get("content") or [] if isinstance(part, dict))
+        first = next(iter(body.get("choices") or []), None)
+        return None if first is None else str((first.get("message") or {}).get("content", ""))
+
+    def __call__(self, text: str) -> str | None:
+        with urllib.request.urlopen(self.request(text), timeout=self.timeout) as reply:
+            return self.said(json.loads(reply.read().decode("utf-8")))
+
+
+def client(settings: dict) -> Callable[[str], str | None]:
+    """What ``replies`` calls for a configuration."""
+    return Provider(settings)
+
+
 def prompt(text: Column, has_clauses: Column) -> Column:
     """What a model is asked: clauses only if none were found."""
     asks = F.when(has_clauses, F.lit("")).otherwise(F.lit(f"; clauses: up to {V.LLM_CLAUSES} objects with a title, the top-level headings in order"))

@@ -6,27 +6,44 @@ import json
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, IntegerType, LongType, StructType
 
-from pactum.functions import vocab as V
+from pactum.operators import records
 from pactum.operators.records import FIELDS, META
+from pactum.operators.schema import record_schema
 
 #: Keys that are left out where they are null; all others are written as null.
 OPTIONAL = ("obligations", "renewal_mechanics")
 
 
-def json_text(records: DataFrame) -> Column:
+def json_text(shown: DataFrame) -> Column:
     """One JSON object for each record. Required keys stay when null; optional ones go."""
-    have = [c for c in (*FIELDS, "obligations", META) if c in records.columns]
+    have = [c for c in (*FIELDS, "obligations", META) if c in shown.columns]
     full = F.to_json(F.struct(*have), {"ignoreNullFields": "false"})
     for key in OPTIONAL:
         full = F.regexp_replace(full, rf',"{key}":null', "")
     return full
 
 
-def write_json(records: DataFrame, path: str) -> None:
+def printable(found: DataFrame, fields: list[str], plain: bool, as_table: bool) -> DataFrame:
+    """Records (path, warnings, error, low_signal and fields) as a command line prints them, one row for each.
+
+    (path, warnings, error, low_signal, format, n_parties, n_clauses, tiers, llm_used, j, record): j is the
+    JSON of the named fields (all, if none is), without confidences if plain; for a table, record is the whole.
+    """
+    have = [c for c in (*FIELDS, "obligations", META) if c in found.columns]
+    about = {"format": F.col("document.format"), "n_parties": F.size("parties"), "n_clauses": F.size("clauses"), "tiers": F.col(f"{META}.tiers_used"), "llm_used": F.col(f"{META}.llm_used")}
+    said = ("path", "warnings", "error", "low_signal", *about)
+    whole = found.withColumns(about)
+    if as_table:
+        return whole.select(*said, F.lit(None).cast("string").alias("j"), F.struct(*have).alias("record"))
+    body = records.project(whole, fields, said)
+    body = records.strip_confidence(body, said) if plain else body
+    return body.select(*said, json_text(body).alias("j"), F.lit(None).cast("string").alias("record"))
+
+
+def write_json(shown: DataFrame, path: str) -> None:
     """A text file of JSON lines for each partition."""
-    records.select(json_text(records).alias("value")).write.mode("errorifexists").text(path)
+    shown.select(json_text(shown).alias("value")).write.mode("errorifexists").text(path)
 
 
 def table(row: Row) -> str:
@@ -46,22 +63,6 @@ def table(row: Row) -> str:
     return "\n".join(f"{k:>14}  {v}" for k, v in lines)
 
 
-def _schema_of(kind: DataType, name: str = "") -> dict:
-    enums = {"tier": [*V.TIER_CONFIDENCE, "llm"], "source": ["deterministic", "llm", "none"], "format": ["markdown", "text", "html", "docx", "pdf"]}
-    if isinstance(kind, StructType):
-        names = [f.name for f in kind.fields]
-        return {"type": "object", "additionalProperties": False, "required": [n for n in names if n not in OPTIONAL], "properties": {f.name: _schema_of(f.dataType, f.name) for f in kind.fields}}
-    if isinstance(kind, ArrayType):
-        return {"type": "array", "items": _schema_of(kind.elementType)}
-    if name in enums:
-        return {"enum": enums[name]}
-    if name == "confidence":
-        return {"type": "number", "minimum": 0, "maximum": 1}
-    plain = {BooleanType: "boolean", IntegerType: "integer", LongType: "integer", DoubleType: "number"}.get(type(kind), "string")
-    return {"type": [plain, "null"]}
-
-
-def json_schema(records: DataFrame) -> str:
-    """JSON Schema of records, derived from their columns."""
-    have = [c for c in (*FIELDS, "obligations", META) if c in records.columns]
-    return json.dumps({"$schema": "https://json-schema.org/draft/2020-12/schema"} | _schema_of(records.select(*have).schema), indent=2)
+def json_schema() -> str:
+    """JSON Schema of records."""
+    return json.dumps(record_schema(), indent=2)

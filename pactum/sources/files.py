@@ -17,6 +17,8 @@ from pactum.functions.vocab import MAX_FILE_BYTES
 from pactum.sources import docx, html, pdf
 
 
+#: Bytes of one Arrow batch of contents, about (one file can be more).
+BATCH_BYTES = 128 * 1024 * 1024
 _TEXT = StructType([StructField("text", StringType()), StructField("warning", StringType())])
 
 
@@ -63,22 +65,35 @@ def _decoded(content: pd.Series, kind: pd.Series) -> pd.DataFrame:
 def decode(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(path, text, format, sha256, warnings, error) of files (path, length, content).
 
-    Files above the size limit have an error and no text. Only HTML, DOCX and PDF contents cross
-    to Python: the others are null there.
+    Files above the size limit have an error and no text; they are told by their length, before any
+    content is read. Only HTML, DOCX and PDF contents cross to Python: the others are null there.
     """
-    fits = F.col("length") <= MAX_FILE_BYTES
-    base = files.select(*keep, "path", "length", F.when(fits, F.col("content")).alias("content")).withColumn("format", format_of(F.col("path"), F.coalesce("content", F.lit(b""))))
+    fits = files.where(F.col("length") <= MAX_FILE_BYTES)
+    base = fits.select(*keep, "path", "content").withColumn("format", format_of(F.col("path"), F.coalesce("content", F.lit(b""))))
     rich = F.col("format").isin("html", "docx", "pdf")
     base = base.withColumn("decoded", _decoded(F.when(rich, F.col("content")), F.col("format")))
     text = F.coalesce(F.when(rich, F.col("decoded.text")).otherwise(valid_utf8(F.col("content"))), F.lit(""))
     base = base.withColumn("text", text)
-    empty = fits & (F.trim(F.translate("text", "\n\r\t", "   ")) == "") & (F.coalesce(F.col("decoded.warning"), F.lit("")) == "")
+    empty = (F.trim(F.translate("text", "\n\r\t", "   ")) == "") & (F.coalesce(F.col("decoded.warning"), F.lit("")) == "")
     warnings = F.filter(F.array(F.nullif("decoded.warning", F.lit("")), F.when(empty, F.lit("no text could be extracted"))), lambda w: w.isNotNull())
-    error = F.when(~fits, F.concat(F.lit("file is larger than "), F.lit(str(MAX_FILE_BYTES)), F.lit(" bytes")))
-    return base.select(*keep, "path", "text", "format", F.sha2("content", 256).alias("sha256"), warnings.alias("warnings"), error.alias("error"))
+    read = base.select(*keep, "path", "text", "format", F.sha2("content", 256).alias("sha256"), warnings.alias("warnings"), F.lit(None).cast("string").alias("error"))
+    over = files.where(F.col("length") > MAX_FILE_BYTES).select(*keep, "path").withColumns({
+        "text": F.lit(""), "format": format_of(F.col("path"), F.lit(b"")), "sha256": F.lit(None).cast("string"), "warnings": F.array().cast("array<string>"),
+        "error": F.lit(f"file is larger than {MAX_FILE_BYTES} bytes"),
+    })
+    return read.unionByName(over)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let no more than BATCH_BYTES go to Python at a time, unless the session bounds batches lower."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def scan(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Files of a folder or pattern, decoded."""
+    bound_batches(spark)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     return decode((reader.option("pathGlobFilter", glob) if glob else reader).load(path))
