@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pactum.llm.common import release
+
 #: Of this pattern no match holds white space after another character, but for the one space
 #: before a word, so texts are cut there first, by a quicker pattern, and chunks are remembered.
 SPACE_JOINED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -36,7 +38,7 @@ _BY_SPACE = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 #: Widths of the matrices.
 BUCKETS = (4, 8, 16, 32, 64, 128, 256)
 #: Distinct pre-tokens that a worker remembers; it starts anew beyond that.
-REMEMBER = 200_000
+REMEMBER = 100_000
 #: Cells of a matrix that is worked on at a time.
 CELLS = 60_000
 _NONE = np.int32(2**31 - 1)
@@ -249,8 +251,15 @@ def _texts(column: pa.Array, most: int = 4_000_000) -> Iterator[list[str | None]
     yield group
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids array<int>) for documents (doc_id, text). path: a file of ranks that every executor has."""
+def _decoded(bpe: BytePairs, ids: Iterable[np.ndarray]) -> pa.Array:
+    return pa.array([bpe.decode(i) for i in ids], type=pa.binary())
+
+
+def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids array<int>[, decoded binary]) for documents (doc_id, text). path: a file of ranks that every executor has.
+
+    decoded: the ids are decoded again by the same worker, as ``decode`` does it for stored ids.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = BytePairs.load(path, pattern)
@@ -261,12 +270,16 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     ids = bpe.encode(group)
                     offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
                     flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), type=pa.int32())
-                    yield pa.RecordBatch.from_arrays([x.column("doc_id").slice(at, len(group)), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["doc_id", "ids"])
+                    columns = {"doc_id": x.column("doc_id").slice(at, len(group)), "ids": pa.ListArray.from_arrays(pa.array(offsets), flat)}
+                    if decoded:
+                        columns["decoded"] = _decoded(bpe, ids)
+                    yield pa.RecordBatch.from_pydict(columns)
                     at += len(group)
         bpe.forget()  # the worker may go on to other tasks
+        release()
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>{', decoded binary' * decoded}")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:
@@ -278,7 +291,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, keep: tuple[str, ...] =
         for x in batches:
             lists = x.column("ids")
             flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            out = [bpe.decode(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*(x.column(c) for c in keep), pa.array(out, type=pa.binary())], names=[*keep, "decoded"])
+            out = _decoded(bpe, (flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)))
+            yield pa.RecordBatch.from_arrays([*(x.column(c) for c in keep), out], names=[*keep, "decoded"])
 
     return encoded.select(*keep).mapInArrow(run, f"{kinds}, decoded binary")

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from pactum.llm.common import dropped, written
+from pactum.llm.common import dropped, release, written
 from pactum.llm.shingles import mix64, shingles
 
 #: Size classes grow by this factor.
@@ -165,6 +165,8 @@ def _keyed(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[
                     keys, nodes, counts, held = [], [], [], 0
     if held:
         yield batch()
+    del seen, keys
+    release()
 
 
 def _numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pactum.llm import sampling
-from pactum.llm.common import in_parts
+from pactum.llm.common import in_parts, release
 
 PER_LANGUAGE, LANGUAGES = 400, 1000
 #: Bytes that a window labels, and bytes read on either side of them before labels count.
@@ -273,5 +273,6 @@ def keep_known(docs: DataFrame, net: Network, least: float) -> DataFrame:
             keep = [shared.value.score(texts.slice(i, 500).to_pylist()).max(axis=1, initial=0) for i in range(0, len(texts), 500)]
             score = np.concatenate(keep) if keep else np.empty(0)
             yield x.filter(pa.array((score > 0) & (score >= least)))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

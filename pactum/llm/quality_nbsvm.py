@@ -1,8 +1,8 @@
 """Quality classifier: naive Bayes support vectors.
 
 Features are indicators of n-grams of three streams of a text: bytes (orders 1 to 3), byte
-shapes (letters to a/A, digits to 0; orders 1 to 4) and runs of one word repeated (1, 2, 4 or
-8 in a row). They are hashed to 2^16 places. Each indicator is scaled by the log-count ratio
+shapes (letters to a/A, digits to 0; orders 1 to 4), hashed to 2^16 places, and, for each word,
+whether it equals the one before it (the n-grams of orders 1, 2, 4 and 8 that are all equal). Each indicator is scaled by the log-count ratio
 of the classes, and a linear hinge-loss model is fitted on the scaled indicators by dual
 coordinate descent; a logistic curve on the margins of the training rows gives the score.
 
