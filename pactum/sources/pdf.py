@@ -10,6 +10,8 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass, field
 
 from pactum.functions.vocab import MAX_DECODED_BYTES
@@ -30,6 +32,7 @@ _NAME = re.compile(rb"/([^\x00\t\n\x0c\r ()<>\[\]{}/%]*)")
 _NUMBER = re.compile(rb"[+-]?(?:\d+\.\d*|\.\d+|\d+)")
 _REFERENCE = re.compile(rb"(\d+)\s+\d{1,7}\s+R(?![0-9A-Za-z])")
 _OPERATOR = re.compile(rb"[A-Za-z'\"][A-Za-z0-9'\"*]{0,7}")
+_IMAGE_END = re.compile(rb"(?<=[\x00\t\n\x0c\r ])EI")
 _STRING_STEP = re.compile(rb"[^\\()]+|\\(?:[0-7]{1,3}|\r\n|[\s\S])|[()]")
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b"", b"\r": b"", b"\r\n": b""}
 
@@ -425,90 +428,114 @@ class Tally:
     forms: int = 0
 
 
-def _tokens(data: bytes):
-    """(operator, operands) of a content stream; a malformed operand ends it."""
+def instructions(data: bytes) -> Iterator[tuple[bytes, list]]:
+    """(operator, operands) of a content stream; a malformed operand ends it. Numbers count only as operands, not by value."""
     at, operands = 0, []
     while (at := _skip(data, at)) < len(data):
-        c = data[at : at + 1]
-        try:
-            if c == b"(":
-                v, at = _literal(data, at)
-                operands.append(v)
-                continue
-            if c == b"[" or data.startswith(b"<<", at):
-                v, at = value(data, at)
-                operands.append(v)
-                continue
-            if c == b"<":
-                v, at = _hex(data, at)
-                operands.append(v)
-                continue
-        except PdfError:
-            return
-        if c == b"/":
-            v, at = _name(data, at)
-            operands.append(v)
+        if data[at] in b"([</":
+            try:
+                operand, at = value(data, at)
+            except PdfError:
+                return
+            operands.append(operand)
         elif m := _NUMBER.match(data, at):
             operands.append(0)
             at = m.end()
         elif m := _OPERATOR.match(data, at):
-            at = m.end()
-            if m[0] == b"BI":  # an inline image, up to EI after white space
-                end = re.compile(rb"(?<=[\x00\t\n\x0c\r ])EI").search(data, at)
-                at = end.end() if end else len(data)
+            at = _after_image(data, m.end()) if m[0] == b"BI" else m.end()
             yield m[0], operands
             operands = []
         else:
             at += 1
 
 
-def content_text(doc: Document, data: bytes, resources: object, tally: Tally, depth: int = 0) -> str:
+def _after_image(data: bytes, at: int) -> int:
+    """Where an inline image ends: behind the EI that follows white space."""
+    end = _IMAGE_END.search(data, at)
+    return end.end() if end else len(data)
+
+
+class Painter:
+    """Carries out the text operators of one content stream: a table of methods over a small state.
+
+    Positions aren't followed: whatever moves to another line ends the current one.
+    """
+
+    def __init__(self, doc: Document, resources: object, tally: Tally, depth: int = 0):
+        self.doc, self.resources, self.tally, self.depth = doc, resources, tally, depth
+        self.named = doc.get(resources, dict) or {}
+        self.fonts = {k: font(doc, r) for k, r in list((doc.get(self.named.get("Font"), dict) or {}).items())[:MAX_FONTS]}
+        self.lines: list[str] = []
+        self.line: list[str] | None = None
+        self.decoder, self.in_text = _latin1, False
+
+    def text(self, data: bytes) -> str:
+        for op, operands in instructions(data):
+            if (carry_out := self.TABLE.get(op)) is not None:
+                carry_out(self, operands)
+        self.end_line()
+        return "\n".join(self.lines)
+
+    def end_line(self, _: list | None = None) -> None:
+        if self.line is not None:
+            self.lines.append("".join(self.line))
+        self.line = None
+
+    def begin(self, _: list) -> None:
+        self.end_line()
+        self.in_text = True
+
+    def end(self, _: list) -> None:
+        self.end_line()
+        self.in_text = False
+
+    def choose_font(self, operands: list) -> None:
+        if (name := self._last_name(operands)) is not None:
+            self.decoder = self.fonts.get(name, _latin1)
+
+    def show(self, operands: list) -> None:
+        self._put(operands[-1:])
+
+    def show_on_next(self, operands: list) -> None:
+        self.end_line()
+        self._put(operands[-1:])
+
+    def show_all(self, operands: list) -> None:
+        self._put(operands[-1] if operands and isinstance(operands[-1], list) else [])
+
+    def paint(self, operands: list) -> None:
+        """A form's own content, on lines of its own."""
+        if self.depth >= MAX_FORM_DEPTH or self.tally.forms >= MAX_FORMS or (name := self._last_name(operands)) is None:
+            return
+        form = self.doc.get((self.doc.get(self.named.get("XObject"), dict) or {}).get(name), Stream)
+        if form is None or form.head.get("Subtype") != "Form":
+            return
+        self.tally.forms += 1
+        with suppress(PdfError):
+            if data := self.doc.decode(form):
+                self.end_line()
+                inner = Painter(self.doc, form.head.get("Resources", self.resources), self.tally, self.depth + 1).text(data)
+                self.lines += [inner] * bool(inner.strip())
+
+    @staticmethod
+    def _last_name(operands: list) -> str | None:
+        return next((str(v) for v in reversed(operands) if isinstance(v, Name)), None)
+
+    def _put(self, pieces: list) -> None:
+        """Strings on the current line; an empty one begins a line too."""
+        self.tally.shown += 1
+        strings = [p for p in pieces if isinstance(p, bytes)]
+        if self.in_text and self.decoder is not None and strings:
+            self.line = self.line or []
+            self.line.extend(map(self.decoder, strings))
+
+    # The operators of the format that matter to text.
+    TABLE = {b"BT": begin, b"ET": end, b"Td": end_line, b"TD": end_line, b"T*": end_line, b"Tf": choose_font, b"Tj": show, b"'": show_on_next, b'"': show_on_next, b"TJ": show_all, b"Do": paint}
+
+
+def content_text(doc: Document, data: bytes, resources: object, tally: Tally) -> str:
     """Text that a content stream shows, a line for each move to another one."""
-    res = doc.get(resources, dict) or {}
-    fonts = {k: font(doc, r) for k, r in list((doc.get(res.get("Font"), dict) or {}).items())[:MAX_FONTS]}
-    forms = doc.get(res.get("XObject"), dict) or {}
-    lines: list[str] = []
-    line: list[str] = []
-    decoder, inside = _latin1, False
-
-    def end_line() -> None:
-        if line:
-            lines.append("".join(line))
-            line.clear()
-
-    for op, operands in _tokens(data):
-        if op in (b"BT", b"ET"):
-            end_line()
-            inside = op == b"BT"
-        elif op in (b"Td", b"TD", b"T*"):
-            end_line()
-        elif op == b"Tf":
-            name = next((v for v in reversed(operands) if isinstance(v, Name)), None)
-            decoder = decoder if name is None else fonts.get(str(name), _latin1)
-        elif op in (b"Tj", b"'", b'"', b"TJ"):
-            tally.shown += 1
-            if op in (b"'", b'"'):
-                end_line()
-            last = operands[-1] if operands else None
-            parts = last if op == b"TJ" and isinstance(last, list) else [last] if op != b"TJ" else []
-            if inside and decoder is not None:
-                line += [decoder(p) for p in parts if isinstance(p, bytes)]  # an empty string is a line too
-        elif op == b"Do" and depth < MAX_FORM_DEPTH and tally.forms < MAX_FORMS:
-            name = next((v for v in reversed(operands) if isinstance(v, Name)), None)
-            form = doc.get(forms.get(str(name)), Stream) if name is not None else None
-            if form is not None and form.head.get("Subtype") == "Form":
-                tally.forms += 1
-                try:
-                    inner = doc.decode(form)
-                except PdfError:
-                    inner = b""
-                if inner:
-                    end_line()
-                    shown = content_text(doc, inner, form.head.get("Resources", resources), tally, depth + 1)
-                    if shown.strip():
-                        lines.append(shown)
-    end_line()
-    return "\n".join(lines)
+    return Painter(doc, resources, tally).text(data)
 
 
 def pages(doc: Document) -> list[tuple[dict, object]]:

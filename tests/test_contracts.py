@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import io
 import json
 import time
@@ -129,6 +130,45 @@ def test_pdf():
     assert codes(b"\0\1\0\2\0\3\0\4\0\5\0\6") == "ABCXY"
 
 
+def _modern_pdf(content: bytes) -> bytes:
+    """Objects in an object stream, a cross-reference stream with a predictor, content in ASCII85 over Flate."""
+    inner = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>", 3: b"<< /Type /Page /Contents 4 0 R /Resources << /Font << /F1 5 0 R >> >> >>", 5: b"<< /Type /Font /Subtype /Type1 >>"}
+    places, body = [], b""
+    for n, text in inner.items():
+        places.append(b"%d %d" % (n, len(body)))
+        body += text + b" "
+    head = b" ".join(places) + b" "
+    packed, shown = zlib.compress(head + body), base64.a85encode(zlib.compress(content)) + b"~>"
+    out, at = b"%PDF-1.5\n", {}
+    for n, props, raw in ((4, b"/Filter [/ASCII85Decode /FlateDecode]", shown), (6, b"/Type /ObjStm /N 4 /First %d /Filter /FlateDecode" % len(head), packed)):
+        at[n] = len(out)
+        out += b"%d 0 obj\n<< /Length %d %s >>\nstream\n" % (n, len(raw), props) + raw + b"\nendstream\nendobj\n"
+    at[7] = len(out)
+    rows = [bytes([0, 0, 0, 255])] + [bytes([2, 0, 6, list(inner).index(n)]) if n in inner else bytes([1, *at[n].to_bytes(2, "big"), 0]) for n in range(1, 8)]
+    up = b"".join(b"\x02" + bytes((x - y) & 255 for x, y in zip(r, p, strict=True)) for r, p in zip(rows, [bytes(4), *rows], strict=False))
+    table = zlib.compress(up)
+    return out + b"7 0 obj\n<< /Type /XRef /Size 8 /W [1 2 1] /Root 1 0 R /Length %d /Filter /FlateDecode /DecodeParms << /Predictor 12 /Columns 4 >> >>\nstream\n" % len(table) + table + b"\nendstream\nendobj\nstartxref\n%d\n%%%%EOF" % at[7]
+
+
+def test_modern_pdf():
+    assert pdf.read(_modern_pdf(b"BT /F1 9 Tf (Modern) Tj T* <54776F> Tj ET")) == ("Modern\nTwo", "")
+    assert pdf.read(b"%PDF-1.4\nno structure\nstream\nBT (By the scan) Tj ET\nendstream")[0] == "By the scan"
+
+
+@pytest.mark.parametrize("kind", [0, 1, 2, 3, 4])
+def test_predictors(kind):
+    """Each row filter of PNG, written out byte by byte."""
+    rows, size = [bytes(range(3, 15)), bytes([200, 7, 9, 250, 1, 0, 30, 90, 4, 4, 255, 128])], 3
+    raw, before = b"", bytes(12)
+    for r in rows:
+        left = lambda i, x: x[i - size] if i >= size else 0
+        paeth = lambda a, b, c: min((a, b, c), key=lambda v: abs(a + b - c - v))
+        guess = [(0, left(i, r), before[i], (left(i, r) + before[i]) // 2, paeth(left(i, r), before[i], left(i, before)))[kind] for i in range(12)]
+        raw += bytes([kind]) + bytes((x - g) & 255 for x, g in zip(r, guess, strict=True))
+        before = r
+    assert pdf.unpredict(raw, {"Predictor": 10 + kind, "Columns": 4, "Colors": 3}) == b"".join(rows)
+
+
 def test_files_and_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
