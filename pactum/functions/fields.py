@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from pactum.functions import reading
-from pactum.functions import vocab as V
-from pactum.functions.columns import literal_map, strip
 
 _TEXT, _REAL = pa.string(), pa.float64()
 _FOUND = {"confidence": _REAL, "source": _TEXT}
@@ -65,9 +63,3 @@ defined_terms = arrow(reading.defined_terms, pa.list_(rows(term=_TEXT, **_FOUND)
 parties = arrow(reading.parties, pa.list_(rows(name=_TEXT, role=_TEXT, **_FOUND)))
 signatories = arrow(reading.signatories, pa.list_(rows(name=_TEXT, title=_TEXT, **_FOUND)))
 title = arrow(reading.title, _TEXT)
-
-
-def number(token: Column) -> Column:
-    """Digits or a number word as int; anything else null."""
-    clean = F.lower(strip(token))
-    return F.coalesce(clean.try_cast("int"), F.try_element_at(literal_map(V.NUMBER_WORDS.items()), clean))

@@ -28,6 +28,8 @@ def compiled(pattern: str) -> re.Pattern[str]:
 _LABELED, _EFFECTIVE, _EXPIRATION = compiled(P.EFFECTIVE_LABELED), compiled(P.EFFECTIVE), compiled(P.EXPIRATION)
 _TERM, _NOTICE, _RENEWS, _RENEWS_NOT = compiled(P.TERM_LENGTH), compiled(P.NOTICE), compiled(P.RENEWS), compiled(P.RENEWS_NOT)
 _LAW, _PLACE_PREFIX, _MONEY = compiled(P.LAW), compiled(P.PLACE_PREFIX), compiled(P.MONEY)
+_LABEL_OF_DATE = re.compile(r"effective\s+date", re.IGNORECASE)
+_CURRENCIES = ("$", "usd", "eur", "gbp")
 _QUOTED, _PAREN = compiled(P.TERM_QUOTED), compiled(P.TERM_PAREN)
 _PARTIES, _ROLE = compiled(P.PARTY_BLOCK), re.compile(P.ROLE)
 _CUTS = [re.compile(cut, re.IGNORECASE) for cut in P.PARTY_CUTS]
@@ -52,6 +54,14 @@ def _scalar(value: object, confidence: float) -> dict:
     return {"value": value, "confidence": confidence if found else 0.0, "source": "deterministic" if found else "none"}
 
 
+def _may_hold(text: str, *words: str) -> bool:
+    """False if a pattern that can't match without one of these words in any case needn't be tried.
+
+    Texts beyond ASCII are always tried: other letters can count as the same in another case.
+    """
+    return not text.isascii() or any(w in low for low in (text.lower(),) for w in words)
+
+
 def _first(pattern: re.Pattern[str], text: str, group: int = 1) -> str | None:
     m = pattern.search(text)
     return (m[group] or None) if m else None
@@ -98,7 +108,7 @@ def _date(raw: str | None, parsed: float, unparsed: float) -> dict:
 
 
 def effective_date(flat: str) -> dict:
-    if (raw := _first(_LABELED, flat)) is not None:
+    if _LABEL_OF_DATE.search(flat) and (raw := _first(_LABELED, flat)) is not None:
         return _date(raw, V.DATE_LABELED, V.DATE_LABELED_RAW)
     return _date(_first(_EFFECTIVE, flat), V.DATE_KEYWORD, V.DATE_KEYWORD_RAW)
 
@@ -114,15 +124,17 @@ def term_length(flat: str) -> dict:
 
 
 def notice_days(flat: str) -> dict:
-    return _scalar(number(_first(_NOTICE, flat)), V.TERM)
+    return _scalar(number(_first(_NOTICE, flat)) if _may_hold(flat, "notice") else None, V.TERM)
 
 
 def auto_renew(flat: str) -> dict:
+    if not _may_hold(flat, "renew", "successive"):
+        return _scalar(None, V.TERM)
     return _scalar(False if _RENEWS_NOT.search(flat) else True if _RENEWS.search(flat) else None, V.TERM)
 
 
 def governing_law(flat: str) -> dict:
-    return _scalar(squeeze((_first(_LAW, flat) or "").strip().rstrip(".,")) or None, V.LAW)
+    return _scalar(squeeze((_first(_LAW, flat) or "").strip().rstrip(".,")) or None if _may_hold(flat, "law") else None, V.LAW)
 
 
 _CODES = {name: code for _, name, code in V.places()}
@@ -143,7 +155,7 @@ def jurisdiction(law: str) -> dict:
 
 
 def headline_value(flat: str) -> dict:
-    m = _MONEY.search(flat)
+    m = _MONEY.search(flat) if _may_hold(flat, *_CURRENCIES) else None
     return _scalar(squeeze(m[0]) if m else None, V.WEAK)
 
 
@@ -151,7 +163,8 @@ def headline_value(flat: str) -> dict:
 
 
 def amounts(flat: str) -> list[dict]:
-    return [_scalar(a, V.WEAK) for a in _distinct((squeeze(m[0]) for m in _MONEY.finditer(flat)), V.MAX_AMOUNTS)]
+    found = _MONEY.finditer(flat) if _may_hold(flat, *_CURRENCIES) else ()
+    return [_scalar(a, V.WEAK) for a in _distinct((squeeze(m[0]) for m in found), V.MAX_AMOUNTS)]
 
 
 def defined_terms(flat: str) -> list[dict]:
