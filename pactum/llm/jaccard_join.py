@@ -135,6 +135,7 @@ def _described(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Itera
             rows.append((len(s), digest(s) if len(s) else None, classes, [sketch(s, c, percent) for c in classes]))
         columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n", "node", "classes", "sketches"])
+    release()
 
 
 def _keyed(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -263,6 +264,7 @@ def _sets(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
                 rows, size = [], 0
         if rows:
             yield pd.DataFrame(rows, columns=columns)
+    release()
 
 
 def _may_link(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
@@ -336,6 +338,8 @@ def _between_classes(batches: Iterator[pd.DataFrame], percent: int, forest: bool
                 yield pd.concat(found).drop_duplicates()
     if rest is not None and len(rest):
         yield from _pairs_of_run(rest, percent, forest)
+    del rest
+    release()
 
 
 def connected(edges: DataFrame, name: str) -> DataFrame:

@@ -41,7 +41,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactum.llm.common import written
+from pactum.llm.common import release, written
 
 MAGIC, VERSION, SAMPLE = b"EFTK", 2, 64
 _HEAD = struct.Struct("<4sBBBxQQQQQQ")
@@ -320,6 +320,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_ids: in
                     size += len(ids) + 1
         if parts:
             yield shard()
+        del names, parts
+        release()
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").isNull().alias("without_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("order"))

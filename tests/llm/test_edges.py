@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from pactum.llm import ann_multiprobe, bpe, common, jaccard_join, langid_gru, mixing, mpeg_audio, quality_nbsvm, queries, secrets, token_store, toxicity_crf
+from pactum.llm import bpe, common, jaccard_join, langid_gru, mixing, mpeg_audio, quality_nbsvm, queries, secrets, token_store, toxicity_crf
 
 WORDS, RANKS = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Names that operators and stages use for columns of their own.
@@ -34,6 +34,11 @@ def table(spark):
     return made.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHES)])
 
 
+@pytest.fixture(scope="module")
+def made(table):
+    return models(table)
+
+
 def models(docs):
     labels = docs.where("doc_id is not null").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"), (F.col("doc_id") % 2).cast("int").alias("quality")).distinct()
     return toxicity_crf.train(docs, labels, "toxic"), quality_nbsvm.train(docs, labels, "quality"), langid_gru.fit(["abc"] * 3 + ["xyz"] * 3, ["l"] * 3 + ["r"] * 3, rounds=5)
@@ -54,9 +59,8 @@ OPERATORS = {
 
 
 @pytest.mark.parametrize("name", OPERATORS)
-def test_operators_on_odd_rows(spark, table, name):
+def test_operators_on_odd_rows(spark, table, made, name):
     """A row for each row, whatever its columns hold; none for none."""
-    made = models(table)
     got = OPERATORS[name](table, made).collect()
     assert len(got) == table.count()
     want = sorted(str(r.doc_id) for r in table.select("doc_id").collect())
@@ -170,12 +174,12 @@ def test_inclusion_follows_its_odds(spark):
     sized = docs.select("source", mixing.words().alias("size"), F.lit(0).cast("long").alias("draw"))
     expected = {(r.its, r.its_class): r.whole + r.part for r in mixing.plan(common.written(sized, "t"))[0].collect()}
     seen = {}
-    for seed in range(12):
+    for seed in range(6):
         for r in mixing.mix(docs, seed=seed).collect():
             seen.setdefault((r.source, r["size"].bit_length()), []).append(r.copies)
     assert len({round(v, 3) for v in expected.values()}) > 2
     for k, copies in seen.items():
-        assert np.mean(copies) == pytest.approx(expected[k], abs=0.08)
+        assert np.mean(copies) == pytest.approx(expected[k], abs=0.1)
 
 
 def test_mixing_needs_no_python(spark, sf_dir):
