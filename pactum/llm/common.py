@@ -50,6 +50,17 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python get so many rows at a time at most for the rest of the session, as texts can be long.
+
+    For DataFrames that a caller writes itself; ``written`` sets it for its own writes.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or not 0 < int(now) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def written(df: DataFrame, name: str, batch: int = 1000) -> DataFrame:
     """The rows of df, written once as Parquet in the shared folder and read back: lineage ends there.
 
