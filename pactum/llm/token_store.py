@@ -346,7 +346,8 @@ def read_documents(shards: DataFrame, digest_only: bool = False) -> DataFrame:
                     last = min(first + RUN, len(shard))
                     ends = shard.ends.select_range(first, last)
                     starts = np.concatenate([[shard.ends.select(first - 1) if first else 0], ends[:-1]])
-                    ids = [shard.ids[a:b].astype("<u4") for a, b in zip(starts, ends, strict=True)]
+                    block = shard.ids[starts[0] : ends[-1]].astype("<u4")
+                    ids = [block[a:b] for a, b in zip((starts - starts[0]).tolist(), (ends - starts[0]).tolist(), strict=True)]
                     out = pd.DataFrame({"doc_id": pd.array(names[first:last], dtype="Int64"), "part": row.part, "seq": row.seq, "start": starts, "n_tokens": ends - starts, "ids_crc32": [zlib.crc32(x) for x in ids]})
                     if not digest_only:
                         out["ids"] = [x.astype(np.int32) for x in ids]
