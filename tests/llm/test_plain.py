@@ -226,9 +226,9 @@ def test_field_and_support_vectors():
 def test_hashes_put_a_vector_among_its_own_probes():
     x = np.random.default_rng(1).standard_normal((50, 16))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    h = ann_multiprobe.Hashes(16, 1.0, 1.0, 2, 4, 10, 2.4)
+    h = ann_multiprobe.Hashes(16, tables=2, hashes=4, probes=10, width=2.4)
     for t in range(2):
-        assert (h.probe(x, t)[:, 0] == h.buckets(x, t)).mean() > 0.99
+        assert (h.probe(x, t)[:, 0] == h.buckets(x, np.ones(50), t)).mean() > 0.99
 
 
 def test_toxic_segments_are_drawn_from_all_documents():
