@@ -22,8 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     than random letters do. Repeated rows stay repeated, other columns go along, an empty table stays empty.
     """
     small_batches(spark)
-    net, least = langid_gru.train_with_least(docs, docs.where(fold("doc_id", 5) != 0).select("doc_id", "lang"))
-    return langid_gru.keep_known(docs, net, least)
+    return langid_gru.known(docs, fold("doc_id", 5) != 0)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from pactum.llm import bpe
+from pactum.llm import bpe, langid_gru
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 EN = "the quick fox and the lazy dog went over to that house with this little thing"
@@ -62,3 +62,32 @@ def test_gibberish_goes(spark):
     print(f"gibberish kept {len(kept - ids)} of 100, documents kept {len(kept & ids)} of {len(ids)}")
     assert len(kept - ids) <= 5
     assert len(kept & ids) >= 0.98 * len(ids)
+
+
+def test_language_learns_from_all_rows(spark, monkeypatch):
+    """No sample: the stage collects none, a letter of any one row counts, and every row moves the network, however rows are stored."""
+    monkeypatch.setattr(langid_gru.sampling, "collect", lambda *a: pytest.fail("a sample was drawn"))
+    monkeypatch.setattr(langid_gru, "START", 500_000)
+    rows = [(i, f"{(EN, DE)[i % 2]} {i} " + ("ж" if i == 1100 else ""), ("en", "de")[i % 2]) for i in range(1200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    net, letters = langid_gru.train_whole(table, shard_bytes=30_000)
+    assert ord("ж") in letters
+    parameters = lambda t: np.concatenate([p.ravel() for p in langid_gru.train_whole(t, shard_bytes=30_000)[0].parameters()])
+    whole = np.concatenate([p.ravel() for p in net.parameters()])
+    assert np.array_equal(parameters(table.repartition(7)), whole)
+    assert not np.array_equal(parameters(table.withColumn("text", F.when(F.col("doc_id") == 1100, F.reverse("text")).otherwise(F.col("text")))), whole)
+    docs = table.select("doc_id", "text", F.col("label").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    assert corpus_pipeline.language(spark, docs, "").count() >= 0.99 * 1200
+
+
+def test_segments_hold_every_byte():
+    x, y = langid_gru.segments(["a" * 100, "bc", "d" * 48, "12", None], ["l", "r", "l", "r", "l"], ["l", "r"], 48, np.random.default_rng(0))
+    assert x.shape == (5, 48) and sorted(y.tolist()) == [0, 0, 0, 0, 1]
+    assert set(x[y == 0].ravel().tolist()) == set(b"ad") and set(x[y == 1].ravel().tolist()) == set(b"bc")
+
+
+def test_rank_of_scores(spark):
+    values = np.round(np.random.default_rng(1).random(500) ** 9, 4).tolist() + [0.25] * 300 + [1.0]
+    table = spark.createDataFrame([(v,) for v in values], "value double").cache()
+    for rank in (0, 4, 450, 600, 800):
+        assert langid_gru.nth(table, rank) == sorted(values)[rank]
