@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactum.llm import bpe, jaccard_join, langid_gru, mixing, secrets
-from pactum.llm.common import dropped, fold, small_batches, written
+from pactum.llm.common import dropped, fold, give_back, small_batches, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,6 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     than random letters do. Repeated rows stay repeated, other columns go along, an empty table stays empty.
     """
     small_batches(spark)
+    give_back(spark)
     return langid_gru.known(docs, fold("doc_id", 5) != 0)
 
 
@@ -32,6 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     with the same doc_id and text one stays. Where rows share a doc_id but differ in text, they
     stay if any of them stands for its class. An empty table stays empty.
     """
+    give_back(spark)
     classes = written(jaccard_join.link_classes(docs, k=5, percent=80, name="pipeline"), "pipeline-classes")
     by_id = classes.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias("stands"), F.count("*").alias("times"))
     by_id = written(by_id.where("not stands or times > 1"), "pipeline-by-id")
@@ -50,6 +52,7 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and repeated rows as they are; an empty table stays empty.
     """
     small_batches(spark)
+    give_back(spark)
     return secrets.redact(docs)
 
 
@@ -57,6 +60,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it: null and empty texts take no words, but may stay. An empty
     table stays empty.
     """
+    give_back(spark)
     return mixing.mixed(docs)
 
 
@@ -66,6 +70,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no ids; repeated rows are repeated; an empty table gives no rows.
     """
     small_batches(spark)
+    give_back(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     back = bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.octet_length("decoded").cast("long").alias("n_bytes"))

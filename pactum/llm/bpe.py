@@ -237,7 +237,7 @@ class BytePairs:
         return _gather(self.blob, self.starts[ids], self.lengths[ids]).tobytes()
 
 
-def _texts(column: pa.Array, most: int = 4_000_000) -> Iterator[list[str | None]]:
+def _texts(column: pa.Array, most: int = 1_000_000) -> Iterator[list[str | None]]:
     """Texts in groups of bounded length."""
     group: list[str | None] = []
     size = 0

@@ -94,6 +94,16 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Let executors give heap that they do not use back to the system.
+
+    A heap that one stage has grown stays grown beside the Python workers of the next; a full
+    collection shrinks it. One task for each core asks its executor for one.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.java_method(F.lit("java.lang.System"), F.lit("gc")).alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def in_parts(texts: pd.Series, characters: int) -> Iterator[pd.Series]:
     """Texts in runs of about so many characters, in order."""
     for _, part in texts.groupby(texts.str.len().fillna(0).to_numpy().cumsum() // characters, sort=True):
