@@ -29,14 +29,17 @@ from __future__ import annotations
 
 import json
 import os
+import string
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import accumulate, chain, compress, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,6 +52,8 @@ _HEAD = struct.Struct("<4sBBBxQQQQQQ")
 RUN = 4096
 #: Ids of a shard, about; a longer document has a shard of its own.
 SHARD_IDS = 1_000_000
+#: Bytes of texts that are encoded at a time, about.
+GROUP_BYTES = 4_000_000
 
 
 class Boundaries:
@@ -176,8 +181,8 @@ class Memory:
 
     def __init__(self, most: int):
         self.most = most
-        self.place: dict[str, int] = {"": 0}
-        self.flat, self.ends, self.asked = np.empty(0, np.int32), np.zeros(2, np.int64), np.zeros(1, np.int32)
+        self.place: dict[bytes, int] = {}
+        self.flat, self.ends, self.asked = np.empty(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def shrink(self) -> None:
         if len(self.place) <= self.most:
@@ -185,40 +190,97 @@ class Memory:
         kept = np.flatnonzero(self.asked > 1)
         kept = kept[-self.most // 2 :] if len(kept) > self.most // 2 else kept
         keep = np.zeros(len(self.asked), bool)
-        keep[0] = keep[kept] = True
+        keep[kept] = True
         lengths = np.diff(self.ends)
-        names = [n for n, k in zip(self.place, keep.tolist(), strict=True) if k]
+        names = list(compress(self.place, keep.tolist()))
         self.flat = self.flat[np.repeat(keep, lengths)]
         self.ends = np.concatenate([[0], np.cumsum(lengths[keep])])
         self.asked = np.zeros(len(names), np.int32)
         self.place = dict(zip(names, range(len(names)), strict=True))
 
-    def add(self, names: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+    def find(self, names: list[bytes]) -> np.ndarray:
+        """Places of strings, -1 for unknown ones."""
+        return np.fromiter(map(self.place.get, names, repeat(-1)), np.int64, len(names))
+
+    def add(self, names: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
         self.place.update(zip(names, range(len(self.place), len(self.place) + len(names)), strict=True))
         self.flat = np.concatenate([self.flat, ids])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
         self.asked = np.concatenate([self.asked, np.zeros(len(names), np.int32)])
 
-    def get(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of lists of known strings, concatenated, and how many each list has."""
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        index = np.fromiter(map(self.place.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
-        self.asked += np.minimum(np.bincount(index, minlength=len(self.asked)), 2).astype(np.int32)
-        lengths = self.ends[index + 1] - self.ends[index]
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.flat[np.arange(total[-1]) + np.repeat(self.ends[index] - total[:-1], lengths)]
-        cut = np.concatenate([[0], np.cumsum(counts)])
-        return ids, total[cut[1:]] - total[cut[:-1]]
+    def get(self, places: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of strings at distinct places, concatenated, and how many each has. times: how often each is asked for."""
+        self.asked[places] += np.minimum(times, 2).astype(np.int32)
+        return _gather(self.flat, self.ends, places)
+
+
+def _gather(flat: np.ndarray, ends: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of flat, concatenated, and their lengths; run i goes from ends[i] to ends[i + 1]."""
+    lengths = ends[index + 1] - ends[index]
+    total = np.concatenate([[0], np.cumsum(lengths)])
+    return flat[np.arange(total[-1]) + np.repeat(ends[index] - total[:-1], lengths)], lengths
+
+
+def _table(of: dict[str, int], rest: int) -> bytes:
+    return bytes(next((v for k, v in of.items() if chr(b) in k), rest) for b in range(256))
+
+
+_SPACE, _LETTER, _DIGIT, _SIGN, _HARD = range(5)
+#: Kinds of bytes. Leads C3 to C5 begin letters up to U+017F, but for those of _NOT_LETTERS. An apostrophe can begin a
+#: piece together with letters.
+_KIND = _table({" \n": _SPACE, string.ascii_letters + "".join(map(chr, [*range(0x80, 0xC0), 0xC3, 0xC4, 0xC5])): _LETTER, string.digits: _DIGIT, string.punctuation.replace("'", ""): _SIGN}, _HARD)
+#: The signs of multiplication and division; the dotted capital I, whose lower case is two characters.
+_NOT_LETTERS = ((0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0))
+_LOWER = bytes(range(256)).lower()
+
+
+def _units(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Units of texts, all in one array, and how many each text has.
+
+    A unit is a run of letters, a digit or a run of signs, with ASCII in lower case, or a word as it stands where it
+    holds anything else. They are cut and told apart as bytes, in numpy and Arrow: Python meets distinct ones only.
+    """
+    texts = texts.cast(pa.large_binary())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    whole = memoryview(texts.buffers()[2] or b"")[bounds[0] : bounds[-1]].tobytes()
+    bounds = bounds - bounds[0]
+    raw, kind = np.frombuffer(whole, np.uint8), np.frombuffer(bytearray(whole.translate(_KIND)), np.uint8)
+    for lead, after in _NOT_LETTERS:
+        at = np.flatnonzero(raw[:-1] == lead)
+        kind[at[raw[at + 1] == after]] = _HARD
+    begins = bounds[:-1][np.diff(bounds) > 0]
+    start = kind == _DIGIT
+    start[1:] |= kind[1:] != kind[:-1]
+    start[begins] = True
+    low = np.frombuffer(whole.translate(_LOWER), np.uint8)
+    hard = np.flatnonzero(kind == _HARD)
+    filled = kind != _SPACE
+    if len(hard):
+        word = filled.copy()
+        word[1:] &= ~filled[:-1]
+        word[begins] = filled[begins]
+        words = np.append(np.flatnonzero(word), len(raw))
+        at = np.unique(np.searchsorted(words, hard, side="right"))
+        inside = np.zeros(len(raw) + 1, np.int8)
+        inside[words[at - 1]] += 1
+        inside[words[at]] -= 1
+        inside = np.cumsum(inside, dtype=np.int8)[:-1].view(bool)
+        start = np.where(inside, word, start)
+        low = np.where(inside, raw, low)
+    start &= filled
+    ends = np.append(np.flatnonzero(start[filled]), np.count_nonzero(filled))
+    units = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(low[filled])])
+    return units.dictionary_encode(), np.diff(np.searchsorted(np.flatnonzero(start), bounds))
 
 
 class WordEncoder:
-    """The tokenizers library with a memory of what words and their pieces encode to.
+    """The tokenizers library with a memory of what words and their parts encode to.
 
     For a tokenizer that drops white space and cuts at it before its model runs, the ids of a
     text are those of its words, one after the other; those of a word are those of its pieces
-    by the tokenizer's own pattern. Each distinct piece meets the library once while it is
-    remembered. Words with characters whose normal form can depend on their neighbours are
-    pieces of their own; other tokenizers get whole texts.
+    by the tokenizer's own pattern, most of which are units. Each distinct unit meets the
+    library once while it is remembered. Words with characters whose normal form can depend on
+    their neighbours are pieces of their own; other tokenizers get whole texts.
     """
 
     def __init__(self, path: str, remember: int = 600_000):
@@ -227,10 +289,13 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
-        split = (kind.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+        cuts = (kind.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        split = cuts[0]
         normal = [n["type"] for n in (kind.get("normalizer") or {}).get("normalizers", [])]
         pattern = split.get("pattern", {}).get("Regex", "") if split.get("type") == "Split" else ""
-        self.by_word = bool(pattern) and split.get("invert") and split.get("behavior") == "Removed" and "\\s" in pattern and normal == ["NFC", "Replace", "Lowercase"]
+        # what units stand for: runs of letters, single digits, runs of signs; what else there is begins with an apostrophe
+        kinds = {x for x in pattern.split("|") if x[:1] != "'"} == {r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"}
+        self.by_word = kinds and split.get("invert") and split.get("behavior") == "Removed" and normal == ["NFC", "Replace", "Lowercase"]
         self.pattern = regex.compile(pattern)
         # added tokens are found before words are cut, some in the normalised text
         self.added = [t["content"].lower() for t in kind.get("added_tokens") or []]
@@ -238,55 +303,104 @@ class WordEncoder:
         # fixed and special, and not normalised: it is found in any text as it stands
         special = [t for t in kind.get("added_tokens") or [] if t["special"] and not t["normalized"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"]]
         self.mark, self.mark_id = (special[-1]["content"], special[-1]["id"]) if special else (None, -1)
+        # for pieces of letters that are in normal form: the same model, cut at spaces only
+        self.plain, self.widths = None, np.empty(0, np.int64)
+        if self.by_word and cuts[1:] == [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]:
+            at_space = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
+            self.plain = Tokenizer.from_str(json.dumps({**kind, "normalizer": None, "pre_tokenizer": {**kind["pre_tokenizer"], "pretokenizers": [at_space, *cuts[1:]]}}))
+            vocabulary = self.plain.get_vocab()
+            ending = kind["model"].get("end_of_word_suffix") or ""
+            self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a character of a token stands for a byte
+            self.widths[list(vocabulary.values())] = [len(t.removesuffix(ending)) for t in vocabulary]
         self.remember = remember
         self.forget()
 
     def forget(self) -> None:
-        self.words, self.pieces = Memory(self.remember), Memory(self.remember)
+        self.words = Memory(self.remember)
 
     @classmethod
     @lru_cache(maxsize=2)
     def load(cls, path: str) -> WordEncoder:
         return cls(path)
 
-    def _by_library(self, pieces: list[str]) -> None:
-        """Remember pieces.
-
-        Many go to the library as one text, with the tokenizer's special token between them, whose
-        id no piece can have.
-        """
-        for i in range(0, len(pieces), 1000):
-            part = pieces[i : i + 1000]
-            got = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, dtype=np.int32)
-            cut = np.concatenate([[-1], np.flatnonzero(got == self.mark_id), [len(got)]])
-            if len(cut) != len(part) + 1:
-                raise ValueError("the tokenizer's special token doesn't part words")
-            self.pieces.add(part, got[got != self.mark_id], np.diff(cut) - 1)
+    def _by_model(self, part: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of pieces of letters and how many each has, from the bytes that tokens stand for; None if these don't add up."""
+        joined = " ".join(part)
+        got = np.array(self.plain.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=np.int32)
+        raw = np.frombuffer(f"{joined} ".encode(), np.uint8)
+        ends = np.flatnonzero(raw == ord(" ")) - np.arange(len(part))
+        reached = np.cumsum(self.widths[got])
+        last = np.searchsorted(reached, ends)
+        if not len(reached) or last[-1] != len(reached) - 1 or (reached[last] != ends).any():
+            return None
+        return got, np.diff(last, prepend=-1)
+
+    def _by_mark(self, part: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces and how many each has, from one text with the tokenizer's special token between them, whose id no piece can have."""
+        got = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, dtype=np.int32)
+        cut = np.concatenate([[-1], np.flatnonzero(got == self.mark_id), [len(got)]])
+        if len(cut) != len(part) + 1:
+            raise ValueError("the tokenizer's special token doesn't part words")
+        return got[got != self.mark_id], np.diff(cut) - 1
+
+    def _by_library(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct pieces in another order, their ids, concatenated, and how many each has. Many go to the library as one text."""
+        letters = [p for p in pieces if p.isalpha() and (p.isascii() or max(p) < "\u0250")] if self.plain else []
+        others = list(set(pieces).difference(letters))
+        found = [(np.empty(0, np.int32), np.empty(0, np.int64))]
+        for some, encode in ((letters, lambda part: self._by_model(part) or self._by_mark(part)), (others, self._by_mark)):
+            found += [encode(some[i : i + 1000]) for i in range(0, len(some), 1000)]
+        return [*letters, *others], *map(np.concatenate, zip(*found, strict=True))
 
     def _has_added(self, text: str) -> bool:
-        return self.lead in text and any(a in text.lower() for a in self.added)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [not self.by_word or self.mark is None or self._has_added(t) for t in texts]
-        by_library = iter(self.tokenizer.encode_batch_fast([t for t, w in zip(texts, whole, strict=True) if w], add_special_tokens=False))
-        by_words = iter(self._by_words([t for t, w in zip(texts, whole, strict=True) if not w]))
-        return [np.array(next(by_library).ids, dtype=np.int32) if w else next(by_words) for w in whole]
-
-    def _by_words(self, texts: list[str]) -> list[np.ndarray]:
-        if not texts:
+        return any(a in text.lower() for a in self.added)
+
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """Ids of each text; no text is null."""
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts
+        if not self.by_word or self.mark is None:
+            whole = np.ones(len(texts), bool)
+        else:
+            whole = pc.match_substring(texts, self.lead).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(whole)
+            whole[at] = [self._has_added(texts[i].as_py()) for i in at.tolist()]
+        by_library = iter(self.tokenizer.encode_batch_fast(texts.filter(pa.array(whole)).to_pylist(), add_special_tokens=False))
+        by_words = iter(self._by_words(texts.filter(pa.array(~whole))))
+        return [np.array(next(by_library).ids, dtype=np.int32) if w else next(by_words) for w in whole.tolist()]
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Remember units."""
+        cut = self.pattern.findall
+        # a unit of letters is one piece; one of other characters is cut if its lower case can't depend on neighbours
+        pieces = [([w.lower()] if w.isalpha() else cut(w.lower())) if w.isascii() or max(w) < "\u0250" else [w] for w in map(bytes.decode, new)]
+        names, ids, lengths = self._by_library(list(set().union(*pieces)))
+        place = dict(zip(names, range(len(names)), strict=True))
+        index = np.fromiter(map(place.__getitem__, chain.from_iterable(pieces)), np.int64)
+        ids, lengths = _gather(ids, np.concatenate([[0], np.cumsum(lengths)]), index)
+        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.words.add(new, ids, np.diff(np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]))
+
+    def _by_words(self, texts: pa.Array) -> list[np.ndarray]:
+        if not len(texts):
             return []
-        words = [t.replace("\n", " ").split(" ") for t in texts]
+        units, counts = _units(texts)
+        distinct = units.dictionary.to_numpy(zero_copy_only=False).tolist()
         self.words.shrink()
-        new = list(set().union(*words).difference(self.words.place))
-        if new:
-            cut = self.pattern.findall
-            # a word of letters is one piece; one of other characters is cut if its lower case can't depend on neighbours
-            pieces = [([w.lower()] if w.isalpha() else cut(w.lower())) if w.isascii() or max(w) < "\u0250" else [w] for w in new]
-            self.pieces.shrink()
-            self._by_library(list(set().union(*pieces).difference(self.pieces.place)))
-            self.words.add(new, *self.pieces.get(pieces))
-        ids, lengths = self.words.get(words)
-        return np.split(ids, np.cumsum(lengths)[:-1])
+        places = self.words.find(distinct)
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            places[new] = np.arange(len(self.words.place), len(self.words.place) + len(new))
+            self._learn([distinct[i] for i in new.tolist()])
+        ids, lengths = self.words.get(places, np.bincount(units.indices.to_numpy(), minlength=len(distinct)))
+        # ids of a unit as bytes, so that Arrow copies them to where the unit stands
+        ends = np.concatenate([[0], np.cumsum(lengths)]) * ids.itemsize
+        each = pa.Array.from_buffers(pa.large_binary(), len(distinct), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+        found = each.take(units.indices)
+        if not len(found):
+            return [ids] * len(texts)
+        total = np.frombuffer(found.buffers()[1], np.int64)[: len(found) + 1] // ids.itemsize
+        flat = np.frombuffer(found.buffers()[2], ids.dtype)[: total[-1]] if total[-1] else ids[:0]
+        return np.split(flat, total[np.cumsum(counts)[:-1]])
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -294,28 +408,31 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_ids: in
 
     Columns: part, seq (order of shards), n_docs, n_ids, shard (binary).
     """
+    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("shard", pa.binary())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, names, parts, size, seq = WordEncoder.load(tokenizer), [], [], 0, 0
         part = -1
 
-        def shard() -> pd.DataFrame:
+        def shard() -> pa.RecordBatch:
             lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-            return pd.DataFrame({"part": [part], "seq": [seq], "n_docs": [len(names)], "n_ids": [int(lengths.sum())], "shard": [pack(names, lengths, np.concatenate(parts))]})
+            row = {"part": part, "seq": seq, "n_docs": len(names), "n_ids": int(lengths.sum()), "shard": pack(names, lengths, np.concatenate(parts))}
+            return pa.RecordBatch.from_pylist([row], schema)
 
         for x in batches:
+            sizes = np.cumsum(pc.binary_length(x.column("text")).to_numpy(zero_copy_only=False))
             at = 0
-            while at < len(x):
-                end = at + 1 + int(np.searchsorted(np.cumsum(x["text"].str.len().to_numpy()[at:]), 2_000_000))
-                group = x.iloc[at:end]
+            while at < len(sizes):
+                end = at + 1 + int(np.searchsorted(sizes[at:] - (sizes[at - 1] if at else 0), GROUP_BYTES))
+                group = x.slice(at, end - at)
                 at = end
                 if part < 0:
-                    part = int(group["part"].iloc[0])
-                for name, without, ids in zip(group["doc_id"], group["without_id"], encoder.encode(group["text"].tolist()), strict=True):
+                    part = group.column("part")[0].as_py()
+                for name, without, ids in zip(group.column("doc_id").to_pylist(), group.column("without_id").to_pylist(), encoder.encode(group.column("text")), strict=True):
                     if parts and size + len(ids) + 1 > shard_ids:
                         yield shard()
                         names, parts, size, seq = [], [], 0, seq + 1
-                    names.append(None if without else int(name))
+                    names.append(None if without else name)
                     parts.append(np.append(ids, np.int32(end_id)))
                     size += len(ids) + 1
         if parts:
@@ -327,7 +444,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_ids: in
     rows = docs.select(F.col("doc_id").isNull().alias("without_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("order"))
     order = [F.desc("without_id"), F.asc("doc_id"), F.asc("order")]  # rows of one id can stand in several tasks
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("order").withColumn("part", F.spark_partition_id())
-    return written(rows.mapInPandas(run, "part int, seq int, n_docs long, n_ids long, shard binary"), "token-shards")
+    return written(rows.mapInArrow(run, "part int, seq int, n_docs long, n_ids long, shard binary"), "token-shards")
 
 
 def read_documents(shards: DataFrame, digest_only: bool = False) -> DataFrame:

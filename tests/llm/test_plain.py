@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -52,6 +53,37 @@ def test_special_tokens_are_the_librarys_and_memory_shrinks():
         assert encoder.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="aBeI'sStT019 \n\t\x85\xa0.,&<|>éÉß×÷ªµ²ŒİıÿŸȺ\u0149\u017f\u0301\u0307Σς漢", max_size=30), max_size=6), st.integers(0, 2))
+def test_texts_of_a_column_equal_the_library(texts, skipped):
+    library = Tokenizer.from_file(WORDS)
+    column = pa.array(["x y"] * skipped + texts, pa.string()).slice(skipped)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in token_store.WordEncoder.load(WORDS).encode(column)] == want
+
+
+def test_python_meets_a_word_once_in_a_group():
+    """Words and their pieces are told apart in Arrow, not looked up for each time that they stand in a text."""
+
+    class Counting(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counting.asked += 1
+            return super().__getitem__(key)
+
+        def get(self, *key):
+            Counting.asked += 1
+            return super().get(*key)
+
+    encoder = token_store.WordEncoder(WORDS)
+    encoder.words.place = Counting(encoder.words.place)
+    texts = ["Some words, some other words: the words&&& of 3 texts ***\n"] * 2000
+    want = Tokenizer.from_file(WORDS).encode(texts[0], add_special_tokens=False).ids
+    assert all(x.tolist() == want for x in encoder.encode(texts))
+    assert Counting.asked < 100
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3000), min_size=1, max_size=300))
 def test_boundaries(lengths):
